@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from ledgerloom.fixed_values import MIN_WEEKS_OUTLIER, OUTLIER_SEED, OUTLIER_SHARE
 from ledgerloom.plans.shared import runs_in_tasks
 
-
 runs_in_tasks(__name__)
 
 TREES = 100
