@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import NULL_WORDS
+from ledgerloom.functions.text import one_decimal_up
 
 # Amounts are computed at this precision and stored as decimal(18,2).
 WIDE = "decimal(38,6)"
@@ -96,10 +97,14 @@ def format_inr(amount: Column) -> Column:
 def format_inr_compact(amount: Column) -> Column:
     """Short form: crore, lakh or thousand with one decimal, whole rupees below 1,000."""
     value = amount.cast("double")
+
+    def short(unit: float, name: str) -> Column:
+        return F.concat(F.lit("₹"), one_decimal_up(value / unit), F.lit(name))
+
     return (
-        F.when(value >= 1e7, F.format_string("₹%.1f Cr", value / 1e7))
-        .when(value >= 1e5, F.format_string("₹%.1f L", value / 1e5))
-        .when(value >= 1e3, F.format_string("₹%.1f K", value / 1e3))
+        F.when(value >= 1e7, short(1e7, " Cr"))
+        .when(value >= 1e5, short(1e5, " L"))
+        .when(value >= 1e3, short(1e3, " K"))
         .otherwise(F.regexp_replace(format_inr(amount), "^−", "-"))
     )
 

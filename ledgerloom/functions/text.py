@@ -54,12 +54,25 @@ def quoted(name: Column) -> Column:
     return F.concat(mark, name, mark)
 
 
+def fixed(value: Column, places: int = 1) -> Column:
+    """Decimal text rounded by the exact binary value, true ties to the even digit.
+
+    format_number rounds that way; the %.1f of format_string rounds the shortest decimal form and differs.
+    """
+    return F.replace(F.format_number(value.cast("double"), places), F.lit(","), F.lit(""))
+
+
+def one_decimal_up(value: Column) -> Column:
+    """One decimal by the exact binary value, true ties upwards; only quarters can be true ties."""
+    return fixed(F.when(value * 4 == F.floor(value * 4), value + 0.001).otherwise(value))
+
+
 def signed_percent(pct: Column) -> Column:
     """Trend text: +4.2%, -3.0%, 0%, or a dash where there is no earlier value."""
     return (
         F.when(pct.isNull(), "—")
-        .when(pct > 0, F.format_string("+%.1f%%", pct.cast("double")))
-        .when(pct < 0, F.format_string("%.1f%%", pct.cast("double")))
+        .when(pct > 0, F.concat(F.lit("+"), one_decimal_up(pct.cast("double")), F.lit("%")))
+        .when(pct < 0, F.concat(F.lit("-"), one_decimal_up(-pct.cast("double")), F.lit("%")))
         .otherwise("0%")
     )
 

@@ -53,7 +53,8 @@ def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, order, customer, part, nation = (
         read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part", "nation")
     )
-    value = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("decimal(18,2)")
+    price, discount = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
+    value = F.round(price * (1 - discount), 2).cast("decimal(18,2)")
     return conform(
         line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))

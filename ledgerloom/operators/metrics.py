@@ -13,6 +13,7 @@ from ledgerloom.fixed_values import (
 )
 from ledgerloom.functions.amounts import format_inr, rupees
 from ledgerloom.functions.dates import whole_days
+from ledgerloom.functions.text import fixed
 from ledgerloom.ledger import require, sales
 from ledgerloom.operators.periods import is_current, is_previous, period_bounds, tenant_stats, with_periods
 from ledgerloom.plans.joins import lookup_join, top_per_group
@@ -210,12 +211,12 @@ def insights(revenue_table: DataFrame, dead: DataFrame, top: DataFrame) -> DataF
     rules = F.array(
         insight(
             pct >= INSIGHT_PCT, "celebration", "Strong Revenue Growth",
-            F.format_string("Revenue grew %+.1f%% vs last period. Your business is gaining momentum!", pct), 1,
+            F.format_string("Revenue grew +%s%% vs last period. Your business is gaining momentum!", fixed(pct)), 1,
         ),
         insight(
             pct <= -INSIGHT_PCT, "warning", "Revenue Decline Alert",
             F.format_string(
-                "Revenue dropped %.1f%% vs last period. Review pricing or top-product stock levels.", F.abs(pct)
+                "Revenue dropped %s%% vs last period. Review pricing or top-product stock levels.", fixed(F.abs(pct))
             ), 1,
         ),
         insight(

@@ -64,7 +64,8 @@ def _windows(names: DataFrame, threshold: int) -> DataFrame:
         .withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_edits"))))
         .withColumns({"_low": low, "_high": high})
         .filter(F.col("_low") <= F.col("_high"))
-        .withColumn("_at", start + F.explode(F.sequence(F.col("_low"), F.col("_high"))))
+        .withColumn("_shift", F.explode(F.sequence(F.col("_low"), F.col("_high"))))
+        .withColumn("_at", start + F.col("_shift"))
         .withColumn("_size", size)
         .filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.col("_short")))
         .withColumn("_piece", F.substring("short_name", F.col("_at") + 1, F.col("_size")))

@@ -7,20 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.joins import lookup_join
-from ledgerloom.sources.delimited import parse_rows, usable
+from ledgerloom.sources.delimited import ROW_IN_SPLIT, parse_rows, usable
 
 
 def csv_arrivals(spark: SparkSession, folder: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """Raw text rows of the files that appear in a folder. Row ids use the position inside the file's split."""
+    """Raw text rows of the files that appear in a folder, with their file and split."""
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.readStream.schema(schema).option("header", True).option("sep", sep).csv(folder)
-    return rows.withColumns({
-        "source": F.col("_metadata.file_path"),
-        "row_id": F.format_string(
-            "%s:%015d:%s", F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-            F.sha2(F.concat_ws("\u0001", *[f"`{c}`" for c in columns]), 256),
-        ),
-    })
+    return rows.withColumns(
+        {"source": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start")}
+    )
 
 
 def on_arrival(
@@ -39,7 +35,9 @@ def on_arrival(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = parse_rows(batch, columns, tenant, column_map).filter(usable())
+        position = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_IN_SPLIT))
+        placed = batch.withColumn("row_id", F.format_string("%s:%015d:%012d", "source", "_split", position))
+        rows = parse_rows(placed, columns, tenant, column_map).filter(usable())
         rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         spark = batch.sparkSession
         ledger = spark.read.option("basePath", store).parquet(store).drop("batch")
