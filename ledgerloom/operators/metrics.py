@@ -61,7 +61,7 @@ def revenue(ledger: DataFrame, reference_date=None, stats: DataFrame | None = No
     label = F.create_map(*[F.lit(x) for pair in PERIOD_LABELS.items() for x in pair])
     zero = F.lit(0).cast(MONEY)
     return (
-        lookup_join(bounds, sums, ["tenant"], "left")
+        bounds.join(sums, "tenant", "left")
         .withColumn("current_revenue", F.coalesce("current_revenue", zero))
         .withColumn("previous_revenue", F.coalesce("previous_revenue", zero))
         .withColumn("change_amount", (F.col("current_revenue") - F.col("previous_revenue")).cast(MONEY))
@@ -151,7 +151,7 @@ def customer_split(ledger: DataFrame, reference_date=None, stats: DataFrame | No
     )
     total = F.col("new_revenue") + F.col("repeat_revenue")
     share = percent_of(F.col("new_revenue"), total)
-    filled = lookup_join(bounds.select("tenant"), split, ["tenant"], "left").na.fill(
+    filled = bounds.select("tenant").join(split, "tenant", "left").na.fill(
         0, ["new_customers", "repeat_customers"]
     )
     for column in ("new_revenue", "repeat_revenue"):
@@ -191,9 +191,10 @@ def insights(revenue_table: DataFrame, dead: DataFrame, top: DataFrame) -> DataF
     """Rule-based insights per tenant: growth or decline (1), slow products (2), top seller (3)."""
     dead_counts = dead.groupBy("tenant").agg(F.count("*").alias("n_dead"))
     best = top.filter("rank = 1").select("tenant", F.col("product").alias("best"), F.col("revenue").alias("best_rev"))
-    facts = lookup_join(
-        lookup_join(revenue_table.select("tenant", "change_pct"), dead_counts, ["tenant"], "left"),
-        best, ["tenant"], "left",
+    facts = (
+        revenue_table.select("tenant", "change_pct")
+        .join(dead_counts, "tenant", "left")
+        .join(best, "tenant", "left")
     )
     pct = F.col("change_pct").cast("double")
 
@@ -254,7 +255,7 @@ def summary(tables: dict[str, DataFrame], dead_items: int = 5) -> DataFrame:
     counts = dead.groupBy("tenant").agg(F.count("*").alias("dead_stock_count"))
     joined = rev
     for table in (products, items, counts, split):
-        joined = lookup_join(joined, table, ["tenant"], "left")
+        joined = joined.join(table, "tenant", "left")
     body = F.struct(
         F.col("current_revenue").cast("double").alias("current_revenue"),
         format_inr(F.col("current_revenue")).alias("current_revenue_text"),

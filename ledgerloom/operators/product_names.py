@@ -7,9 +7,9 @@ from ledgerloom.fixed_values import NAME_MIN_COUNT, NAME_SIMILARITY
 from ledgerloom.plans.joins import SALTS, lookup_join, pinned
 from ledgerloom.plans.shared import cut_lineage
 
-# Names sharing one piece beyond this count are spread over SALTS tasks.
-HOT_PIECE = 10_000
-KEY = ["tenant", "_long", "_no", "_piece"]
+# A shared anchor is refined further while it would pair up more rows than this.
+CROWDED_PAIRS = 10_000
+KEY = ["tenant", "_long", "_anchor"]
 
 
 def name_counts(ledger: DataFrame, column: str = "product") -> DataFrame:
@@ -24,87 +24,124 @@ def _edits(length: Column, threshold: int) -> Column:
     return F.floor(length * (100 - threshold) / 100).cast("int")
 
 
-def _piece_bounds() -> tuple[Column, Column]:
-    """Start and length of piece `_no` when a name of `_long` characters is cut into `_edits` + 1 even pieces."""
-    pieces = F.col("_edits") + 1
-    base, extra = F.floor(F.col("_long") / pieces).cast("int"), F.col("_long") % pieces
-    start = F.col("_no") * base + F.least(F.col("_no"), extra)
-    return start.cast("int"), (base + F.when(F.col("_no") < extra, 1).otherwise(0)).cast("int")
-
+def _whole_names(names: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Every name in the role of the longer one and, per possible longer length, in the role of the shorter one.
 
-def _pieces(names: DataFrame, threshold: int) -> DataFrame:
-    """Each name, in the role of the longer one, cut into one piece more than the edits it may take."""
-    start, size = _piece_bounds()
-    return (
-        names.select("tenant", F.col("name").alias("long_name"), F.length("name").alias("_long"))
-        .withColumn("_edits", _edits(F.col("_long"), threshold))
-        .filter(F.col("_edits") >= 1)
-        .withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_edits"))))
-        .withColumn("_piece", F.substring("long_name", start + 1, size))
+    `_rest` is the part of the name that no anchor covers yet, `_rest_long` its length in the longer name, and `_edits`
+    the most edits that part may take.
+    """
+    start = {"_anchor": F.lit(""), "_rest": F.col("name"), "_rest_long": F.col("_long"),
+             "_edits": _edits(F.col("_long"), threshold)}
+    size = F.length("name")
+    longer = names.select("tenant", "name", size.alias("_long")).withColumns(start).filter("_edits >= 1")
+    reach = F.floor(size * 100 / threshold).cast("int")
+    shorter = (
+        names.filter(size > 0).select("tenant", "name", F.explode(F.sequence(size, reach)).alias("_long"))
+        .withColumns(start)
+        .filter((F.col("_edits") >= 1) & (F.col("_long") - size <= F.col("_edits")))
     )
+    return longer, shorter
 
 
-def _windows(names: DataFrame, threshold: int) -> DataFrame:
-    """Each name, in the role of the shorter one, with every substring that may equal a piece of a longer name.
+def _anchored(rows: DataFrame, is_longer: bool) -> DataFrame:
+    """Rows once for every piece of the open part that may be equal in both names; that piece joins the anchor.
 
-    If `_edits` edits are spread over `_edits` + 1 pieces, some piece is untouched with at most `_no` edits before it
-    and at most `_edits - _no` after it, which bounds how far that piece can have moved.
+    Cut the open part of the longer name into one piece more than it may take edits. Some piece is untouched, with at
+    most as many edits before it as there are pieces before it, and the others after it. That bounds where the piece
+    can lie in the shorter name, and what either side of it may still differ by. The longer side stays open.
     """
-    start, size = _piece_bounds()
-    gap = F.col("_short") - F.col("_long")
-    after = F.col("_edits") - F.col("_no")
-    low, high = F.greatest(-F.col("_no"), gap - after), F.least(F.col("_no"), gap + after)
-    return (
-        names.select("tenant", F.col("name").alias("short_name"), F.length("name").alias("_short"))
-        .filter(F.col("_short") > 0)
-        .withColumn("_long", F.explode(F.sequence(F.col("_short"), F.floor(F.col("_short") * 100 / threshold))))
-        .withColumn("_long", F.col("_long").cast("int"))
-        .withColumn("_edits", _edits(F.col("_long"), threshold))
-        .filter((F.col("_edits") >= 1) & (F.col("_long") - F.col("_short") <= F.col("_edits")))
-        .withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_edits"))))
-        .withColumns({"_low": low, "_high": high})
-        .filter(F.col("_low") <= F.col("_high"))
-        .withColumn("_shift", F.explode(F.sequence(F.col("_low"), F.col("_high"))))
-        .withColumn("_at", start + F.col("_shift"))
-        .withColumn("_size", size)
-        .filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.col("_short")))
-        .withColumn("_piece", F.substring("short_name", F.col("_at") + 1, F.col("_size")))
-        .select("tenant", "short_name", "_short", *KEY[1:]).distinct()
+    pieces = F.col("_edits") + 1
+    base, extra = F.floor(F.col("_rest_long") / pieces).cast("int"), F.col("_rest_long") % pieces
+    cut = rows.withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_edits")))).withColumns({
+        "_start": (F.col("_no") * base + F.least(F.col("_no"), extra)).cast("int"),
+        "_size": (base + F.when(F.col("_no") < extra, 1).otherwise(0)).cast("int"),
+    })
+    if is_longer:
+        placed = cut.withColumn("_at", F.col("_start"))
+    else:
+        gap = F.length("_rest") - F.col("_rest_long")
+        after = F.col("_edits") - F.col("_no")
+        low, high = F.greatest(-F.col("_no"), gap - after), F.least(F.col("_no"), gap + after)
+        placed = (
+            cut.withColumns({"_low": low, "_high": high}).filter(F.col("_low") <= F.col("_high"))
+            .withColumn("_shift", F.explode(F.sequence(F.col("_low"), F.col("_high"))))
+            .withColumn("_at", F.col("_start") + F.col("_shift"))
+            .filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.length("_rest")))
+            .drop("_low", "_high", "_shift")
+        )
+    piece = F.substring("_rest", F.col("_at") + 1, F.col("_size"))
+    before, behind = F.col("_start"), F.col("_rest_long") - F.col("_start") - F.col("_size")
+    open_left = before > behind
+    return placed.select(
+        "tenant", "name", "_long",
+        F.concat_ws("\u0001", "_anchor", F.col("_no").cast("string"), piece).alias("_anchor"),
+        F.when(open_left, F.left("_rest", F.col("_at")))
+        .otherwise(F.substring("_rest", F.col("_at") + F.col("_size") + 1, F.length("_rest"))).alias("_rest"),
+        F.when(open_left, before).otherwise(behind).alias("_rest_long"),
+        F.when(open_left, F.col("_no")).otherwise(F.col("_edits") - F.col("_no")).alias("_edits"),
+    ).distinct()
+
+
+def _pairs_on_anchor(longer: DataFrame, shorter: DataFrame, salts: int = 1) -> DataFrame:
+    """Names that meet on an anchor; with several salts the pairs of one anchor are made by as many tasks."""
+    salt = F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")
+    left = longer.select(*KEY, F.col("name").alias("long_name"), salt.alias("_salt"))
+    right = shorter.select(
+        *KEY, F.col("name").alias("short_name"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
+    return left.join(right, [*KEY, "_salt"]).filter(
+        (F.length("short_name") < F.col("_long")) | (F.col("short_name") < F.col("long_name"))
+    ).select("tenant", "_long", "long_name", "short_name")
 
 
-def similar_pairs(names: DataFrame, threshold: int = NAME_SIMILARITY, hot_piece: int = HOT_PIECE) -> DataFrame:
+def _anchor_sizes(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Pairs each anchor would make, and whether its open part can still be cut."""
+    long_side = longer.groupBy(*KEY).agg(
+        F.count("*").alias("_n"), (F.min("_rest_long") > F.min("_edits")).alias("_can_cut")
+    )
+    short_side = shorter.groupBy(*KEY).agg(F.count("*").alias("_m"))
+    return pinned(
+        long_side.join(short_side, KEY).select(*KEY, (F.col("_n") * F.col("_m")).alias("_pairs"), "_can_cut")
+    )
+
+
+def similar_pairs(
+    names: DataFrame, threshold: int = NAME_SIMILARITY, crowded_pairs: int = CROWDED_PAIRS
+) -> DataFrame:
     """All pairs of names of a tenant whose similarity 100·(1 − edits / longer length) reaches the threshold.
 
-    Candidates come from an equi-join on a shared piece, which misses no pair; the edit distance then decides.
-    Pieces shared by many names are split over several tasks.
+    Two such names share an anchor: a piece of text that the edits left alone. Names meet in an equi-join on it, which
+    misses no pair, and the edit distance decides. An anchor that too many names share, such as a brand in front of
+    every product, is not joined on: its rows are given a second anchor in the part still open, and so on, so a common
+    word does not pair up all the names that hold it. Where a further anchor would not lower the number of pairs, the
+    names really are alike and their pairs are made by many tasks.
     """
-    longer, shorter = _pieces(names, threshold), _windows(names, threshold)
-    crowded = pinned(longer.groupBy(*KEY).count().filter(F.col("count") > hot_piece).select(*KEY))
-    on = list(KEY)
-    if crowded.count() > 0:
-        marked = crowded.withColumn("_hot", F.lit(True))
-        salt = F.pmod(F.xxhash64("long_name"), F.lit(SALTS)).cast("int")
-        longer = lookup_join(longer, marked, KEY, "left", spread_by=["long_name"]).withColumn(
-            "_salt", F.when(F.col("_hot"), salt).otherwise(0)
-        ).drop("_hot")
-        every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        shorter = lookup_join(shorter, marked, KEY, "left", spread_by=["short_name"]).withColumn(
-            "_salt", F.explode(every)
-        ).drop("_hot")
-        on.append("_salt")
-    candidates = longer.join(shorter, on).filter(
-        (F.col("_short") < F.col("_long")) | (F.col("short_name") < F.col("long_name"))
-    )
-    distance = F.expr("levenshtein(short_name, long_name, _edits)")
+    sides = _whole_names(names, threshold)
+    candidates, before, before_pairs = None, None, 0
+    while True:
+        sides = tuple(cut_lineage(_anchored(side, is_longer)) for side, is_longer in zip(sides, (True, False)))
+        sizes = _anchor_sizes(*sides)
+        if before and (sizes.agg(F.sum("_pairs")).first()[0] or 0) >= before_pairs:
+            candidates = candidates.unionByName(_pairs_on_anchor(*before, salts=SALTS))
+            break
+        crowd = sizes.filter((F.col("_pairs") > crowded_pairs) & F.col("_can_cut"))
+        crowded, before_pairs = crowd.agg(F.count("*"), F.sum("_pairs")).first()
+        marks = crowd.select(*KEY, F.lit(True).alias("_crowded"))
+        marked = [lookup_join(s, marks, KEY, "left", spread_by=["name"], right_rows=crowded) for s in sides]
+        found = _pairs_on_anchor(*[side.filter(F.col("_crowded").isNull()) for side in marked])
+        candidates = found if candidates is None else candidates.unionByName(found)
+        if crowded == 0:
+            break
+        before = sides = tuple(pinned(side.filter("_crowded").drop("_crowded")) for side in marked)
+    distance = F.expr(f"levenshtein(short_name, long_name, cast(floor(_long * {100 - threshold} / 100) as int))")
     return (
-        candidates.withColumn("edits", distance).filter(F.col("edits") >= 0)
+        candidates.distinct()
+        .withColumn("edits", distance).filter(F.col("edits") >= 0)
         .select(
             "tenant", F.least("short_name", "long_name").alias("name_a"),
             F.greatest("short_name", "long_name").alias("name_b"),
             (100 * (1 - F.col("edits") / F.col("_long"))).alias("similarity"),
         )
-        .dropDuplicates(["tenant", "name_a", "name_b"])
     )
 
 
@@ -114,22 +151,24 @@ def connected_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then jumps to the label of that label, so
     even long chains settle in few rounds. Lineage is cut in the shared folder after every round.
     """
-    edges = pinned(
+    edges = cut_lineage(
         pairs.select("tenant", F.col("name_a").alias("name"), F.col("name_b").alias("other"))
         .unionByName(pairs.select("tenant", F.col("name_b").alias("name"), F.col("name_a").alias("other")))
     )
     labels = cut_lineage(nodes.select("tenant", "name", F.col("name").alias("label")))
+    size = labels.count()
     while True:
         of_other = labels.select("tenant", F.col("name").alias("other"), F.col("label").alias("_near"))
-        nearest = lookup_join(edges, of_other, ["tenant", "other"], spread_by=["name"]).groupBy("tenant", "name").agg(
-            F.min("_near").alias("_near")
+        nearest = (
+            lookup_join(edges, of_other, ["tenant", "other"], spread_by=["name"], right_rows=size)
+            .groupBy("tenant", "name").agg(F.min("_near").alias("_near"))
         )
-        lowered = lookup_join(labels, nearest, ["tenant", "name"], "left").withColumn(
-            "_low", F.least("label", "_near")
+        lowered = pinned(
+            labels.join(nearest, ["tenant", "name"], "left").withColumn("_low", F.least("label", "_near"))
         )
         jump = lowered.select("tenant", F.col("name").alias("_low"), F.col("_low").alias("_jump"))
         moved = cut_lineage(
-            lookup_join(lowered, jump, ["tenant", "_low"], "left", spread_by=["name"]).select(
+            lookup_join(lowered, jump, ["tenant", "_low"], "left", spread_by=["name"], right_rows=size).select(
                 "tenant", "name", F.least("_low", "_jump").alias("label"),
                 (F.least("_low", "_jump") < F.col("label")).alias("_moved"),
             )
@@ -146,9 +185,9 @@ def canonical_names(
 
     Names seen fewer than `min_count` times take no part.
     """
-    names = pinned(counts.filter(F.col("n") >= min_count))
+    names = cut_lineage(counts.filter(F.col("n") >= min_count))
     groups = connected_groups(names, similar_pairs(names, threshold))
-    sized = groups.join(names, ["tenant", "name"])
+    sized = cut_lineage(groups.join(names, ["tenant", "name"]))
     best = sized.groupBy("tenant", "label").agg(
         F.min_by("name", F.struct(-F.length("name"), -F.col("n"), F.col("name"))).alias("canonical")
     )
@@ -159,7 +198,7 @@ def merge_product_names(
     ledger: DataFrame, column: str = "product", threshold: int = NAME_SIMILARITY, min_count: int = NAME_MIN_COUNT
 ) -> tuple[DataFrame, DataFrame]:
     """The ledger with canonical product names, and the mapping used."""
-    mapping = pinned(canonical_names(name_counts(ledger, column), threshold, min_count))
+    mapping = cut_lineage(canonical_names(name_counts(ledger, column), threshold, min_count))
     changed = mapping.filter(F.col("name") != F.col("canonical")).withColumnRenamed("name", column)
     merged = lookup_join(ledger, changed, ["tenant", column], "left", spread_by=["row_id"])
     return (

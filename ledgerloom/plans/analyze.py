@@ -11,7 +11,6 @@ from ledgerloom.operators.metrics import insights, kpis, summary
 from ledgerloom.operators.periods import period_bounds, tenant_stats
 from ledgerloom.operators.product_names import merge_product_names
 from ledgerloom.operators.segments import customer_segments, segment_counts, top_customers
-from ledgerloom.plans.joins import lookup_join
 from ledgerloom.plans.shared import staged
 from ledgerloom.sources.tables import write_results
 
@@ -67,29 +66,27 @@ def bundle(tables: dict[str, DataFrame]) -> DataFrame:
     listed = F.struct("rank", F.struct(
         F.col("anomaly_type").alias("type"), "severity", "confidence", "title", "explanation", "action"
     ).alias("a"))
-    anomalies = lookup_join(
-        tables["severity_counts"],
+    anomalies = tables["severity_counts"].join(
         tables["top_anomalies"].groupBy("tenant").agg(
             F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["a"]).alias("anomalies")
         ),
-        ["tenant"], "left",
+        "tenant", "left",
     )
     anomalies = anomalies.select(
         "tenant", F.to_json(F.struct(*[c for c in anomalies.columns if c != "tenant"])).alias("anomalies_json")
     )
     best = F.struct("rank", F.struct(F.col("customer").alias("name"), "segment", "rfm_score").alias("c"))
     counts = tables["segment_counts"]
-    customers = lookup_join(
-        counts.select("tenant", "total", F.struct(*counts.columns[2:]).alias("segments")),
+    customers = counts.select("tenant", "total", F.struct(*counts.columns[2:]).alias("segments")).join(
         tables["top_customers"].groupBy("tenant").agg(
             F.transform(F.array_sort(F.collect_list(best)), lambda x: x["c"]).alias("top_customers")
         ),
-        ["tenant"], "left",
+        "tenant", "left",
     ).select("tenant", F.to_json(F.struct("total", "segments", "top_customers")).alias("customers_json"))
     season = tables["season"].select("tenant", F.to_json(F.struct("events", "notes")).alias("season_json"))
     rows = summary(tables).drop("metrics")
     for table in (anomalies, customers, season):
-        rows = lookup_join(rows, table, ["tenant"], "left")
+        rows = rows.join(table, "tenant", "left")
     return rows
 
 

@@ -26,16 +26,19 @@ def lookup_join(
     how: str = "inner",
     spread_by: list[str] | None = None,
     broadcast_rows: int | None = None,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """Join `left` to `right`, which holds at most one row per key.
 
-    The lookup side is pinned and counted. Up to `broadcast_rows` it is broadcast, so `left` does not move. Beyond
+    The lookup side is pinned and counted, unless the caller knows its size as `right_rows`. Up to `broadcast_rows` it is broadcast, so `left` does not move. Beyond
     that both sides are shuffled on the key plus a salt taken from `spread_by`: the rows of one hot key then go to
     SALTS tasks, and because the salt is part of the partitioning no later aggregate reuses a per-key layout.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    right = pinned(right)
-    if right.count() <= limit:
+    if right_rows is None:
+        right = pinned(right)
+        right_rows = right.count()
+    if right_rows <= limit:
         return left.join(F.broadcast(right), on, how)
     spread = spread_by or [c for c in left.columns if c not in on] or on
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
