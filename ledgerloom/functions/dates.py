@@ -1,23 +1,40 @@
 """Dates as column expressions."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import DATE_FORMATS, NULL_WORDS
 
 
+# What the letters of a datetime pattern look like in a text.
+PATTERN_SHAPES = {
+    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}",
+    "M": "[0-9]{1,2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}", "m": "[0-9]{1,2}", "s": "[0-9]{1,2}",
+}
+
+
+def shape_of(pattern: str) -> str:
+    """Regular expression for the texts that can possibly fit a datetime pattern."""
+    pieces = re.split(r"([A-Za-z]+)", pattern)
+    packed = pattern == "yyyyMMdd"
+    return "^[0-9]{8}$" if packed else "^" + "".join(PATTERN_SHAPES.get(p, re.escape(p)) for p in pieces) + "$"
+
+
 def parse_date(raw: Column) -> Column:
     """First of the known formats that fits, day before month; null where none does.
 
+    A format is tried only on texts of its shape, because a failed attempt costs far more than a look at the text.
     Two-digit years 69-99 belong to the 1900s, as in POSIX.
     """
     text = F.regexp_replace(F.trim(raw), r"\s+", " ")
 
     def attempt(pattern: str) -> Column:
         value = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-        if "yyyy" in pattern:
-            return value
-        return F.when(F.year(value) >= 2069, value - F.expr("interval 100 years")).otherwise(value)
+        if "yyyy" not in pattern:
+            value = F.when(F.year(value) >= 2069, value - F.expr("interval 100 years")).otherwise(value)
+        return F.when(text.rlike(shape_of(pattern)), value)
 
     parsed = F.coalesce(*[attempt(p) for p in DATE_FORMATS])
     return F.when(F.lower(text).isin(*NULL_WORDS), F.lit(None)).otherwise(parsed)

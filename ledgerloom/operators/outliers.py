@@ -23,23 +23,23 @@ def _path_norm(n: np.ndarray) -> np.ndarray:
 
 
 def _tree_depths(sample: np.ndarray, points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Depth at which each point is isolated by one random tree grown on a sorted sample of a single feature."""
+    """Depth at which each point is isolated by one random tree grown on a sorted sample of a single feature.
+
+    All points go down the tree together. A node is a run of the sorted sample, known to a point by the ends of the
+    run; its random cut is drawn under the number of its first row, so points in one node see the same cut.
+    """
+    first, end = np.zeros(len(points), dtype=int), np.full(len(points), len(sample))
     depths = np.zeros(len(points))
-    limit = int(np.ceil(np.log2(max(len(sample), 2))))
-    pending = [(sample, np.arange(len(points)), 0)]
-    while pending:
-        values, inside, depth = pending.pop()
-        if len(inside) == 0:
-            continue
-        if depth == limit or len(values) <= 1 or values[0] == values[-1]:
-            depths[inside] = depth + _path_norm(len(values))
-            continue
-        cut = rng.uniform(values[0], values[-1])
-        goes_left = points[inside] <= cut
-        middle = np.searchsorted(values, cut, side="right")
-        pending.append((values[:middle], inside[goes_left], depth + 1))
-        pending.append((values[middle:], inside[~goes_left], depth + 1))
-    return depths
+    for _ in range(int(np.ceil(np.log2(max(len(sample), 2))))):
+        low, high = sample[first], sample[end - 1]
+        splits = high > low
+        cut = low + rng.random(len(sample))[first] * (high - low)
+        middle = np.clip(np.searchsorted(sample, cut, side="right"), first + 1, np.maximum(end - 1, first + 1))
+        left = points <= cut
+        end = np.where(splits & left, middle, end)
+        first = np.where(splits & ~left, middle, first)
+        depths += splits
+    return depths + _path_norm(end - first)
 
 
 def isolation_scores(values: np.ndarray, seed: int = OUTLIER_SEED) -> np.ndarray:

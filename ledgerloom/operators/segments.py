@@ -39,22 +39,37 @@ def _sizes(base: DataFrame) -> DataFrame:
 
 
 def _edges(ranked: DataFrame) -> DataFrame:
-    """Quintile edges and medians per tenant, linearly interpolated between the neighbouring order statistics."""
-    n = F.col("_n")
+    """Quintile edges and medians per tenant, linearly interpolated between the neighbouring order statistics.
+
+    Only the rows whose rank is one of those few order statistics are kept, so at most 14 values per tenant and metric
+    come together.
+    """
+    last = F.col("_n") - 1
+    positions = [last * k / QUINTILES for k in range(QUINTILES + 1)] + [last / 2]
+    wanted = F.array(*[(edge(p) + 1).cast("long") for p in positions for edge in (F.floor, F.ceil)])
+    picked = {m: F.array_contains(wanted, F.col(f"_rank_{m}")) for m in METRICS}
+    any_picked = F.lit(False)
+    for hit in picked.values():
+        any_picked = any_picked | hit
+    collected = ranked.filter(any_picked).groupBy("tenant", "_n").agg(*[
+        F.map_from_entries(F.collect_list(F.when(
+            picked[m], F.struct(F.col(f"_rank_{m}"), F.col(m).cast("double"))
+        ))).alias(f"_at_{m}")
+        for m in METRICS
+    ])
 
-    def at(metric: str, numerator: Column, denominator: int) -> Column:
-        rank, value = F.col(f"_rank_{metric}"), F.col(metric).cast("double")
-        position = numerator / denominator
-        low = F.max(F.when(rank == F.floor(position) + 1, value))
-        high = F.max(F.when(rank == F.ceil(position) + 1, value))
-        return low + (high - low) * F.max(position - F.floor(position))
+    def at(metric: str, position: Column) -> Column:
+        below = F.floor(position)
+        low = F.element_at(f"_at_{metric}", (below + 1).cast("long"))
+        high = F.element_at(f"_at_{metric}", (F.ceil(position) + 1).cast("long"))
+        return low + (high - low) * (position - below)
 
-    return ranked.groupBy("tenant").agg(*[
+    return collected.select("tenant", *[
         column
-        for metric in METRICS
+        for m in METRICS
         for column in (
-            F.array(*[at(metric, (n - 1) * k, QUINTILES) for k in range(QUINTILES + 1)]).alias(f"_edges_{metric}"),
-            at(metric, n - 1, 2).alias(f"_median_{metric}"),
+            F.array(*[at(m, p) for p in positions[:-1]]).alias(f"_edges_{m}"),
+            at(m, positions[-1]).alias(f"_median_{m}"),
         )
     ])
 
