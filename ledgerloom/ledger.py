@@ -45,7 +45,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    return F.format_string("%012d-%d-%010d-%08d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.format_string(
+        "%012d-%d-%010d-%08d-%s", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.date_format("l_shipdate", "yyyyMMdd"),
+    )
 
 
 def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,14 +43,16 @@ def flag_duplicates(ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY) ->
     The first row of each set is a partial aggregate, and rows find out whether they are first by their unique
     row_id. No task ever holds a whole set of copies, so one set may be any share of the ledger.
     """
-    firsts = (
-        ledger.groupBy("tenant", *key).agg(F.min("row_id").alias("row_id"))
-        .select("tenant", "row_id", F.lit(True).alias("_first"))
-    )
+    firsts = ledger.groupBy("tenant", *key).agg(F.min("row_id").alias("row_id"))
+    first = firsts.select(*[F.col(c).alias(f"_{c}") for c in firsts.columns])
+    # The key is part of the condition, so that a row_id given twice by mistake cannot multiply rows.
+    same = (F.col("tenant") == F.col("_tenant")) & (F.col("row_id") == F.col("_row_id"))
+    for column in key:
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
     return (
-        ledger.join(firsts, ["tenant", "row_id"], "left")
-        .withColumn("flag_duplicate", F.col("_first").isNull())
-        .drop("_first")
+        ledger.join(first, same, "left")
+        .withColumn("flag_duplicate", F.col("_row_id").isNull())
+        .drop(*first.columns)
     )
 
 

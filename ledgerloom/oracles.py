@@ -17,7 +17,8 @@ ORACLES: dict[str, str] = {}
 LEDGER = """
 ledger AS (
   SELECT n_name AS tenant,
-         printf('%012d-%d-%010d-%08d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+         printf('%012d-%d-%010d-%08d-%s', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                strftime(l_shipdate, '%Y%m%d')) AS row_id,
          l_orderkey AS voucher_id, o_orderdate AS date, c_name AS customer, p_brand || ' ' || p_name AS product,
          CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2)
               AS DECIMAL(18,2)) * (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS amount,
@@ -664,7 +665,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL
     THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))
   ELSE CAST(o_orderdate AS DATE) END AS parsed FROM orders"""
 ORACLES["amount_expressions"] = """
-SELECT printf('%012d-%d-%010d-%08d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+SELECT printf('%012d-%d-%010d-%08d-%s', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                strftime(l_shipdate, '%Y%m%d')) AS row_id,
        CAST((CAST(l_quantity AS INT) + l_linenumber) * CAST(l_discount AS DECIMAL(4,2)) AS DOUBLE) AS left_to_right,
        CAST(CAST(l_quantity AS INT) - l_linenumber AS DOUBLE) AS credit_less_debit,
        CAST(CAST(l_quantity AS INT) * CAST(l_discount AS DECIMAL(4,2)) AS DOUBLE) AS qty_times_price,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import testviews as V
 from ledgerloom.fixed_values import SEVERITIES
 from ledgerloom.functions import amounts, dates, text
-from ledgerloom.ledger import conform, read_table, staged_ledger
+from ledgerloom.ledger import conform, read_table, row_key, staged_ledger
 from ledgerloom.operators import accounts, anomalies, calendar, cleaning, health, metrics, periods, portfolio
 from ledgerloom.operators import product_names as names
 from ledgerloom.operators import reports, segments
@@ -739,7 +739,7 @@ def date_parsing(spark, sf_dir):
 def amount_expressions(spark, sf_dir):
     columns = ["qty", "line", "rate"]
     rows = read_table(spark, sf_dir, "lineitem").select(
-        F.format_string("%012d-%d-%010d-%08d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        row_key().alias("row_id"),
         F.col("l_quantity").cast("int").cast("string").alias("qty"), F.col("l_linenumber").cast("string").alias("line"),
         F.col("l_discount").cast("decimal(4,2)").cast("string").alias("rate"),
     )

@@ -37,7 +37,7 @@ def file_type(content: Column, name: Column) -> Column:
 def file_catalog(spark: SparkSession, path: str, **options) -> DataFrame:
     """Files under a folder with size, time and type."""
     files = spark.read.format("binaryFile").options(**options).load(path)
-    return files.select("path", "length", "modificationTime", file_type(F.col("content"), F.col("path")).alias("type"))
+    return files.select("path", "length", "modificationTime", file_type(F.col("content"), F.substring_index("path", "/", -1)).alias("type"))
 
 
 def media_file_name(media_type: Column, caption: Column) -> Column:
