@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.fixed_values import DATE_FORMATS, NULL_WORDS
+from ledgerloom.fixed_values import DATE_FORMATS
 
 
 # What the letters of a datetime pattern look like in a text.
@@ -17,27 +17,30 @@ PATTERN_SHAPES = {
 
 def shape_of(pattern: str) -> str:
     """Regular expression for the texts that can possibly fit a datetime pattern."""
+    if pattern == "yyyyMMdd":
+        return "^[0-9]{8}$"
     pieces = re.split(r"([A-Za-z]+)", pattern)
-    packed = pattern == "yyyyMMdd"
-    return "^[0-9]{8}$" if packed else "^" + "".join(PATTERN_SHAPES.get(p, re.escape(p)) for p in pieces) + "$"
+    return "^" + "".join(PATTERN_SHAPES.get(p, re.escape(p)) for p in pieces) + "$"
 
 
 def parse_date(raw: Column) -> Column:
     """First of the known formats that fits, day before month; null where none does.
 
-    A format is tried only on texts of its shape, because a failed attempt costs far more than a look at the text.
-    Two-digit years 69-99 belong to the 1900s, as in POSIX.
+    The shape of the text picks its format, and a second one where day and month could be swapped, so at most two
+    attempts are made per row. Two-digit years 69-99 belong to the 1900s, as in POSIX.
     """
     text = F.regexp_replace(F.trim(raw), r"\s+", " ")
-
-    def attempt(pattern: str) -> Column:
-        value = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-        if "yyyy" not in pattern:
-            value = F.when(F.year(value) >= 2069, value - F.expr("interval 100 years")).otherwise(value)
-        return F.when(text.rlike(shape_of(pattern)), value)
-
-    parsed = F.coalesce(*[attempt(p) for p in DATE_FORMATS])
-    return F.when(F.lower(text).isin(*NULL_WORDS), F.lit(None)).otherwise(parsed)
+    by_shape: dict[str, list[str]] = {}
+    for pattern in DATE_FORMATS:
+        by_shape.setdefault(shape_of(pattern), []).append(pattern)
+    likely, swapped = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for shape, patterns in reversed(by_shape.items()):
+        likely = F.when(text.rlike(shape), patterns[0]).otherwise(likely)
+        if len(patterns) > 1:
+            swapped = F.when(text.rlike(shape), patterns[1]).otherwise(swapped)
+    parsed = F.coalesce(F.try_to_timestamp(text, likely), F.try_to_timestamp(text, swapped)).cast("timestamp_ntz")
+    centuries = F.when(text.rlike("[^0-9][0-9]{2}$") & ~text.rlike("[0-9]{4}") & (F.year(parsed) >= 2069), 100)
+    return parsed - F.make_ym_interval(F.coalesce(centuries, F.lit(0)))
 
 
 def parse_voucher_date(raw: Column, as_of: Column) -> Column:
