@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.plans.shared import already_staged, staged
+from ledgerloom.plans.shared import already_staged, over_all_cores, staged
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("tenant", T.StringType()),
@@ -58,6 +58,7 @@ def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     price, discount = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
     value = F.round(price * (1 - discount), 2).cast("decimal(18,2)")
+    line = over_all_cores(line)
     return conform(
         line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))

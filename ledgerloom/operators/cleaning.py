@@ -8,7 +8,7 @@ from ledgerloom.functions.dates import as_moment
 from ledgerloom.functions.text import IS_ASCII, collapse_spaces, title_case_ascii, unicode_name, unicode_title
 from ledgerloom.ledger import require
 from ledgerloom.operators.periods import tenant_stats
-from ledgerloom.plans.joins import lookup_join, top_per_group
+from ledgerloom.plans.joins import BROADCAST_ROWS, lookup_join, pinned, top_per_group
 
 FLAGS = ("flag_future_date", "flag_negative_amount", "flag_extreme_amount", "flag_duplicate")
 DUPLICATE_KEY = ("date", "customer", "product", "amount")
@@ -37,48 +37,74 @@ def flag_extreme(ledger: DataFrame, stats: DataFrame | None = None) -> DataFrame
     )
 
 
-def flag_duplicates(ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY) -> DataFrame:
-    """All but the first row of every set of rows that agree on `key` within a tenant; nulls are equal.
-
-    The first row of each set is a partial aggregate, and rows find out whether they are first by their unique
-    row_id. No task ever holds a whole set of copies, so one set may be any share of the ledger.
-    """
-    firsts = ledger.groupBy("tenant", *key).agg(F.min("row_id").alias("row_id"))
-    first = firsts.select(*[F.col(c).alias(f"_{c}") for c in firsts.columns])
-    # The key is part of the condition, so that a row_id given twice by mistake cannot multiply rows.
-    same = (F.col("tenant") == F.col("_tenant")) & (F.col("row_id") == F.col("_row_id"))
+def _same_key(key: tuple[str, ...]) -> Column:
+    """Equal key of a row and of a table whose columns carry a leading underscore; nulls are equal."""
+    same = F.col("tenant") == F.col("_tenant")
     for column in key:
         same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
-    return (
-        ledger.join(first, same, "left")
-        .withColumn("flag_duplicate", F.col("_row_id").isNull())
-        .drop(*first.columns)
-    )
+    return same
 
 
-def _unicode_names(ledger: DataFrame, column: str, cleaned: Column) -> DataFrame:
-    """Distinct non-ASCII names of a column with their normal form: the only names that need Python."""
-    return (
-        ledger.filter(~F.col(column).rlike(IS_ASCII)).select(column).distinct()
-        .withColumn("_clean", cleaned)
-    )
+def _underscored(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns])
 
 
-def normalise_names(ledger: DataFrame) -> DataFrame:
+def flag_duplicates(
+    ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """All but the first row of every set of rows that agree on `key` within a tenant; nulls are equal.
+
+    Sets of more than one row are counted by a hash aggregate that combines before its shuffle. While there are few
+    such sets, they and their first rows are broadcast and the ledger is not shuffled at all. Otherwise every set's first
+    row is a minimum, and rows look themselves up among the firsts by their unique row_id. Neither way puts a set of
+    copies into one task, so one set may be any share of the ledger.
+    """
+    groups = ["tenant", *key]
+    repeated = pinned(ledger.groupBy(*groups).agg(F.count("*").alias("_n")).filter("_n > 1").select(*groups))
+    if repeated.count() <= broadcast_rows:
+        members = ledger.select(*groups, "row_id").join(
+            F.broadcast(_underscored(repeated)), _same_key(key), "left_semi"
+        )
+        firsts = _underscored(members.groupBy(*groups).agg(F.min("row_id").alias("first")))
+        joined = ledger.join(F.broadcast(firsts), _same_key(key), "left")
+        flag = F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))
+    else:
+        firsts = _underscored(ledger.groupBy(*groups).agg(F.min("row_id").alias("row_id")))
+        # The key is part of the condition, so that a row_id given twice by mistake cannot multiply rows.
+        joined = ledger.join(firsts, _same_key(key) & (F.col("row_id") == F.col("_row_id")), "left")
+        flag = F.col("_row_id").isNull()
+    return joined.withColumn("flag_duplicate", flag).drop(*firsts.columns)
+
+
+def _unicode_names(ledger: DataFrame) -> DataFrame:
+    """Distinct non-ASCII names of both columns with their normal form: the only names that need Python."""
+    both = F.array(*[
+        F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("customer", "product")
+    ])
+    names = ledger.select(F.inline(both)).filter(~F.col("name").rlike(IS_ASCII)).distinct()
+    clean = F.when(F.col("kind") == "customer", unicode_title("name")).otherwise(unicode_name("name"))
+    return names.withColumn("_clean", clean)
+
+
+def normalise_names(ledger: DataFrame, names_from: DataFrame | None = None) -> DataFrame:
     """Unicode NFC, collapsed whitespace, and title case for customers; products keep their case.
 
     ASCII names are handled inside the JVM. Names with other characters go through Arrow once per distinct name and
-    are joined back.
+    are joined back. They are collected from `names_from`, the plainest form of the same ledger at hand, so that the
+    work done on `ledger` since then is not repeated for it.
     """
+    mapping = pinned(_unicode_names(ledger if names_from is None else names_from))
+    found = mapping.count()
+    built_in = {"customer": title_case_ascii(collapse_spaces(F.col("customer"))),
+                "product": collapse_spaces(F.col("product"))}
+    if found == 0:
+        return ledger.withColumns(built_in)
     result = ledger
-    plain = {"customer": title_case_ascii(collapse_spaces(F.col("customer"))),
-             "product": collapse_spaces(F.col("product"))}
-    udf = {"customer": unicode_title, "product": unicode_name}
-    for column, built_in in plain.items():
-        mapping = _unicode_names(ledger, column, udf[column](F.col(column)))
-        joined = lookup_join(result, mapping, [column], "left", spread_by=["row_id"])
+    for column, ascii_form in built_in.items():
+        clean = mapping.filter(F.col("kind") == column).select(F.col("name").alias(column), "_clean")
+        joined = lookup_join(result, clean, [column], "left", spread_by=["row_id"], right_rows=found)
         result = joined.withColumn(
-            column, F.when(F.col(column).rlike(IS_ASCII), built_in).otherwise(F.col("_clean"))
+            column, F.when(F.col(column).rlike(IS_ASCII), ascii_form).otherwise(F.col("_clean"))
         ).drop("_clean")
     return result.select(*ledger.columns)
 
@@ -88,7 +114,7 @@ def normalise(ledger: DataFrame, as_of) -> DataFrame:
     require(ledger, "tenant", "row_id", "date", "customer", "product", "amount")
     dated = ledger.filter(F.col("date").isNotNull())
     flagged = flag_duplicates(flag_extreme(flag_negative(flag_future(dated, as_of))))
-    return normalise_names(flagged)
+    return normalise_names(flagged, names_from=dated)
 
 
 def flag_summary(flagged: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def over_all_cores(scan: DataFrame) -> DataFrame:
+    """A scan that yields fewer partitions than there are cores (a small file) spread over all of them.
+
+    Large inputs have more splits than cores and stay where they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def staged(df: DataFrame, label: str, key: str | None = None) -> DataFrame:
     """Write `df` once as a Parquet table in the shared folder and read it back.
 

@@ -32,6 +32,14 @@ def test_one_set_of_copies_may_be_most_of_the_ledger(spark, make_ledger):
     assert flagged.filter("not flag_duplicate").first()["row_id"] == "00000000"
 
 
+def test_both_ways_of_flagging_agree(make_ledger):
+    rows = [("a", f"2026-01-{i % 3 + 1:02d}", None if i % 2 else "c", "p", i % 5) for i in range(60)]
+    ledger = make_ledger(rows)
+    few, many = (cleaning.flag_duplicates(ledger, broadcast_rows=n) for n in (1000, 0))
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+    assert few.filter("not flag_duplicate").count() == len(set(rows))
+
+
 def test_names_are_as_python_would_write_them(make_ledger):
     names = ["  o'brien   mc-donald 3m ", "RAM\tkumar", "émile  ZOLA", "शर्मा  ट्रेडर्स", "école x", "a1b2 c", ""]
     ledger = make_ledger([("a", "2026-01-01", n, n, 1) for n in names])
