@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import HISTORY_MESSAGES, RETENTION_DAYS
 from ledgerloom.functions.dates import as_moment, day_shift
-from ledgerloom.plans.joins import lookup_join, top_per_group
+from ledgerloom.plans.joins import lookup_join, pinned, top_per_group
 
 
 def upsert(
@@ -56,28 +56,27 @@ def cascade_delete(tables: dict[str, DataFrame], deleted_users: DataFrame) -> di
     Clients, uploads, analyses and reports go with their owner or parent; messages stay without a user, and uploads of
     other users stay without a deleted client.
     """
-    gone = deleted_users.select("user_id").distinct()
+    gone = pinned(deleted_users.select("user_id").distinct())
 
     def without(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-        return table.join(keys, column, "left_anti")
+        return lookup_join(table, keys.select(F.col(keys.columns[0]).alias(column)), [column], "left_anti")
 
     def unlinked(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
         marked = lookup_join(table, keys.withColumn("_gone", F.lit(True)), [column], "left")
         return marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*table.columns)
 
     clients = tables["clients"]
-    gone_clients = clients.join(gone.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi").select(
-        "client_id"
-    )
+    gone_owners = gone.withColumnRenamed("user_id", "owner_id")
+    gone_clients = lookup_join(clients, gone_owners, ["owner_id"], "left_semi").select("client_id")
     uploads = without(tables["uploads"], gone, "user_id")
-    gone_uploads = tables["uploads"].join(gone, "user_id", "left_semi").select("upload_id")
+    gone_uploads = lookup_join(tables["uploads"], gone, ["user_id"], "left_semi").select("upload_id")
     analyses = without(without(tables["analyses"], gone, "user_id"), gone_uploads, "upload_id")
     gone_analyses = tables["analyses"].join(analyses.select("analysis_id"), "analysis_id", "left_anti").select(
         "analysis_id"
     )
     return {
         "users": without(tables["users"], gone, "user_id"),
-        "clients": clients.join(gone.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_anti"),
+        "clients": without(clients, gone, "owner_id"),
         "uploads": unlinked(uploads, gone_clients, "client_id"),
         "analyses": analyses,
         "reports": without(without(tables["reports"], gone, "user_id"), gone_analyses, "analysis_id"),

@@ -611,7 +611,6 @@ SELECT tenant, 'ledger' AS table_name, n AS n_rows FROM sold
 UNION ALL SELECT tenant, 'revenue', 1 FROM sold UNION ALL SELECT tenant, 'customer_split', 1 FROM sold
 UNION ALL SELECT tenant, 'bundle', 1 FROM sold
 UNION ALL SELECT tenant, 'segments', count(DISTINCT customer) FROM ledger GROUP BY tenant""")
-del ORACLES["whole_analysis"]  # product names are merged first, which SQL cannot follow on whole catalogues
 
 # --- Sources ---
 TYPED = """typed AS (

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: dict[tuple, str] = {}
@@ -50,16 +51,20 @@ def staged(df: DataFrame, label: str, key: str | None = None) -> DataFrame:
     With `key`, later calls of the same application reuse the table already written for that key.
     """
     spark = df.sparkSession
-    slot = (spark.sparkContext.applicationId, label, key)
-    path = _staged.get(slot) if key else None
-    if path is None:
-        path = new_folder(spark, label)
-        df.write.parquet(path)
-        if key:
-            _staged[slot] = path
+    ready = already_staged(spark, label, key) if key else None
+    if ready is not None:
+        return ready
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    if key:
+        _staged[(spark.sparkContext.applicationId, label, key)] = path
     return spark.read.parquet(path)
 
 
 def already_staged(spark: SparkSession, label: str, key: str) -> DataFrame | None:
+    """The table staged under a key, unless there is none or its folder has been cleared since."""
     path = _staged.get((spark.sparkContext.applicationId, label, key))
-    return spark.read.parquet(path) if path else None
+    try:
+        return spark.read.parquet(path) if path else None
+    except AnalysisException:
+        return None

@@ -597,7 +597,7 @@ def whole_analysis(spark, sf_dir):
     """Every step for all tenants; the row counts of the result tables per tenant."""
     made = analyze(staged_ledger(spark, sf_dir), V.AS_OF_FLAGS)
     counted = None
-    for name in ("ledger", "revenue", "top_products", "dead_stock", "customer_split", "segments", "bundle"):
+    for name in ("ledger", "revenue", "customer_split", "segments", "bundle"):
         rows = made[name].groupBy("tenant").agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(name))
         counted = rows if counted is None else counted.unionByName(rows)
     return counted

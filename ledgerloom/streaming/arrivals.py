@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.joins import lookup_join
 from ledgerloom.sources.delimited import ROW_IN_SPLIT, parse_rows, usable
+from ledgerloom.sources.tables import write_results
 
 
 def csv_arrivals(spark: SparkSession, folder: str, columns: list[str], sep: str = ",") -> DataFrame:
@@ -38,11 +39,16 @@ def on_arrival(
         position = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_IN_SPLIT))
         placed = batch.withColumn("row_id", F.format_string("%s:%015d:%012d", "source", "_split", position))
         rows = parse_rows(placed, columns, tenant, column_map).filter(usable())
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        write_results(rows, f"{store}/batch={batch_id}")
         spark = batch.sparkSession
-        ledger = spark.read.option("basePath", store).parquet(store).drop("batch")
-        touched = spark.read.parquet(f"{store}/batch={batch_id}").select("tenant").distinct()
-        analyse(lookup_join(ledger, touched, ["tenant"], spread_by=["row_id"]), batch_id)
+        new = spark.read.parquet(f"{store}/batch={batch_id}")
+        # At most TENANT_BUCKETS numbers; only the folders of these buckets are read again.
+        buckets = [row[0] for row in new.select("tenant_bucket").distinct().collect()]
+        ledger = spark.read.option("basePath", store).parquet(store).filter(F.col("tenant_bucket").isin(buckets))
+        touched = new.select("tenant").distinct()
+        analyse(
+            lookup_join(ledger, touched, ["tenant"], spread_by=["row_id"]).drop("batch", "tenant_bucket"), batch_id
+        )
 
     return (
         arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
