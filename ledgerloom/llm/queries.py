@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontaminate import find_contamination
 from ledgerloom.llm.language_id import detect_languages, train_language_model
+from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.substring import remove_repeated
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,21 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_simhash": op6_simhash,
 }

@@ -27,5 +27,24 @@ WITH words AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op4_substring_dedup": r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM words WHERE len(w) >= 50)
+), firsts AS (
+    SELECT h, min(doc_id) AS lowest FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS place FROM windows JOIN firsts USING (h) WHERE lowest < doc_id
+), spread AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM words
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+    FROM spread ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
 """,
 }
