@@ -1,11 +1,14 @@
 """The registered query of every operator of this subpackage, over whole tables and with production parameters."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontaminate import find_contamination
 from ledgerloom.llm.language_id import detect_languages, train_language_model
+from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.sharding import shard_rows
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring import remove_repeated
 
@@ -33,14 +36,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shard_rows(table(spark, sf_dir, "documents"))
+    return sharded.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
+        "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
 }
