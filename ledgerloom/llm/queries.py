@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontaminate import find_contamination
 from ledgerloom.llm.language_id import detect_languages, train_language_model
+from ledgerloom.llm.licenses import scan_licenses
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.sharding import shard_rows
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring import remove_repeated
+from ledgerloom.llm.token_counts import add_lengths, length_histogram
+from ledgerloom.llm.toxicity import score_toxicity
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +52,42 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, keep=["doc_id"]).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, thousands of ids and, for odd ids, hundreds. A document that opens with a licence
+    statement speaks for its directory."""
+    step = lambda mark, size: F.concat(F.lit(mark), F.floor(F.col("doc_id") / size).cast("string"))
+    below = F.when(F.col("doc_id") % 2 == 1, step("h", 100))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), step("k", 1000), below, step("doc", 1))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    scanned = scan_licenses(files, keep=["doc_id"], speaks=F.col("own_line") == 0)
+    return scanned.select("doc_id", "path", "own_license", "similarity", "own_line", "license", "license_from")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return length_histogram(add_lengths(docs, ranks, public_tokenizers.PATTERN, keep=[]))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out("doc_id"), keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }

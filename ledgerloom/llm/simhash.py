@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import LOWER_BYTES, annotate, components, spanning_forest, texts_of
+from ledgerloom.llm.common import LOWER_BYTES, NO_ID, annotate, components, spanning_forest, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -187,14 +187,25 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, keep: list[str] | None = None
 ) -> DataFrame:
-    """Add fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links."""
-    kept = keep if keep is None else [*dict.fromkeys([*keep, "doc_id"])]
-    base = docs.drop("fingerprint", "component_id")
-    printed = staged(add_fingerprints(base, shingle, kept), "simhash-prints")
-    nodes = staged(printed.groupBy("_print").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    """Add fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) and representative, true
+    for one row of each component: the first with that id.
+
+    With `keep`, only those columns and doc_id come back, and no text is shuffled. Without, rows meet their result by
+    running number, so `docs` should be a table in files.
+    """
+    base = docs.drop("fingerprint", "component_id", "representative").withColumn("_row", F.monotonically_increasing_id())
+    few = ["doc_id"] if keep is None else list(dict.fromkeys([*keep, "doc_id"]))
+    printed = staged(add_fingerprints(base, shingle, [*few, "_row"]), "simhash-prints")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row"))
+    nodes = staged(printed.groupBy("_print").agg(F.min("doc_id").alias("low"), first.alias("first")), "simhash-nodes")
     joined = components(near_links(nodes.select("_print"), distance))
-    labels = nodes.join(joined, nodes["_print"] == joined["node"], "left").select("_print", "low", F.coalesce("component", "_print").alias("component"))
-    least = labels.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = labels.join(least, "component").select("_print", "component_id")
+    labels = nodes.join(joined, nodes["_print"] == joined["node"], "left").select(
+        "_print", "low", "first", F.coalesce("component", "_print").alias("component")
+    )
+    least = labels.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("_first"))
+    named = labels.join(least, "component").select("_print", "component_id", F.col("_first._row").alias("_chosen"))
     out = printed.join(named, "_print").withColumn("fingerprint", F.lower(F.lpad(F.hex("_print"), 16, "0")))
-    return out.drop("_print")
+    out = out.withColumn("representative", F.col("_row") == F.col("_chosen"))
+    if keep is None:
+        out = base.join(out.select("_row", "fingerprint", "component_id", "representative"), "_row")
+    return out.drop("_print", "_row", "_chosen")
