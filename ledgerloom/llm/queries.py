@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, table
+from ledgerloom.llm.cover_search import top_products
 from ledgerloom.llm.decontaminate import find_contamination
 from ledgerloom.llm.language_id import detect_languages, train_language_model
 from ledgerloom.llm.licenses import scan_licenses
@@ -32,6 +33,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated(docs, keep=["doc_id"]).select(
@@ -83,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_cover_tree_search": op3_cover_tree_search,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
