@@ -163,14 +163,16 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     blocks; every two blocks are compared in a task of their own, so no task holds more than two blocks of a key.
     """
     keyed = staged(prints.select("_print", F.explode(signatures("_print", scheme(prints.count(), distance))).alias("key")), "simhash-keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(sizes, "key")
-    fine = rows.filter(F.col("n") <= block).select("key", "_print")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    crowds = staged(sizes, "simhash-crowds")
+    crowded = not crowds.isEmpty()
+    fine = keyed.join(crowds, "key", "left_anti") if crowded else keyed
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = fine.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(distance, False), "a long, b long")
-    crowd = rows.filter(F.col("n") > block).withColumn("of", F.ceil(F.col("n") / block).cast("int"))
-    if crowd.isEmpty():
+    fine = fine.select("key", "_print").repartition(parts, "key").sortWithinPartitions("key")
+    links = fine.mapInArrow(_compare(distance, False), "a long, b long")
+    if not crowded:
         return links
+    crowd = keyed.join(crowds, "key").withColumn("of", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("_print"), F.col("of")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
     pairs = crowd.withColumn("own", own).withColumn("other", other).select(
