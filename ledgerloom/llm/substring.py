@@ -144,8 +144,12 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _shared_keys(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys met in two documents or more, with the smallest id; summed map-side, so a hot key is no hot task."""
-    return rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
+    """Keys met in two documents or more, with the smallest id; summed map-side, so a hot key is no hot task.
+
+    Written, so that joins with it shuffle both sides and AQE can split the rows of a hot key among tasks.
+    """
+    shared = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
+    return staged(shared, "substring-shared")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
