@@ -35,7 +35,6 @@ GRADES = (
     (40, "Fair — analysis will run but results may be imprecise"),
 )
 LOWEST_GRADE = "Poor — please fix issues before analysis"
-SAMPLE_ROWS = 50_000
 SAMPLE_SEED = 42
 
 # --- Fixed values: anomaly thresholds -------------------------------------------------------------------------------
@@ -49,13 +48,11 @@ DROP_PCT = 20
 MIN_WEEKS_ZSCORE = 3
 MIN_WEEKS_OUTLIER = 4
 OUTLIER_SHARE = 0.1
-OUTLIER_SEED = 42
 ZSCORE_LIMIT = 2.5
 MIN_CONFIDENCE = 0.5
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
 STORED_ANOMALIES = 10
 REPORTED_ANOMALIES = 3
-ALERT_TEXT_CHARS = 120
 
 # --- Fixed values: defaults for missing names -----------------------------------------------------------------------
 WALK_IN = "Walk-in Customer"
@@ -198,7 +195,6 @@ INTENT_TOKENS = (
 FALLBACK_INTENT = "ai_generated"
 GREETINGS = ("hi", "hello", "start", "help", "menu", "namaste", "नमस्ते", "हेलो", "helo", "hey")
 UPLOAD_WORDS = ("upload", "csv", "excel", "file bhejo", "data bhejo", "data send", "tally export")
-MESSAGE_CHARS = 2000
 HISTORY_MESSAGES = 10
 
 # --- Fixed values: allowed values of the operational tables ---------------------------------------------------------

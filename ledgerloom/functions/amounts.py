@@ -12,9 +12,12 @@ from ledgerloom.functions.text import one_decimal_up
 WIDE = "decimal(38,6)"
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _number(cleaned: Column) -> Column:
-    """Decimal value of a cleaned string, 0 where it is no number."""
-    return F.coalesce(cleaned.try_cast(WIDE), F.lit(0).cast(WIDE))
+    """Decimal value of a cleaned string, 0 where it is no number, null where the number is too large to hold."""
+    return F.when(cleaned.rlike(NUMBER), cleaned.try_cast(WIDE)).otherwise(F.lit(0).cast(WIDE))
 
 
 def parse_amount(raw: Column) -> Column:
@@ -37,13 +40,13 @@ def parse_amount(raw: Column) -> Column:
 def parse_voucher_amount(raw: Column, sale_sign: int = -1) -> Column:
     """Amount of an accounting-XML ledger line; with `sale_sign` -1 a negative source amount is a sale."""
     cleaned = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"[₹,\s]", "")
-    return (_number(cleaned) * F.lit(sale_sign)).cast(WIDE)
+    return (_number(cleaned) * F.lit(sale_sign)).try_cast(WIDE)
 
 
 def amount_expression(expression: str, columns: list[str]) -> Column:
     """Arithmetic over parsed cells, evaluated strictly from left to right without operator precedence.
 
-    Names that are neither a column nor a number count as 0, and so does a division by 0.
+    Names that are neither a column nor a number count as 0, and so does a division by 0. A result too large to hold is null.
     """
 
     def operand(token: str) -> Column:
@@ -58,19 +61,22 @@ def amount_expression(expression: str, columns: list[str]) -> Column:
     if not operands:
         return F.lit(0).cast(WIDE)
     steps = {
-        "+": lambda a, b: a + b,
-        "-": lambda a, b: a - b,
-        "*": lambda a, b: a * b,
-        "/": lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0)),
+        "+": F.try_add,
+        "-": F.try_subtract,
+        "*": F.try_multiply,
+        "/": lambda a, b: F.when(b == 0, F.lit(0)).otherwise(F.try_divide(a, b)),
     }
     result = operands[0]
     for operator, right in zip(operators, operands[1:]):
-        result = steps[operator](result, right).cast(WIDE)
+        result = steps[operator](result, right).try_cast(WIDE)
     return result
 
 
 def ledger_amount(column_map: dict[str, str], columns: list[str]) -> Column:
-    """The amount of a row: direct column, else expression, else credit less debit, else quantity times price."""
+    """The amount of a row: direct column, else expression, else credit less debit, else quantity times price.
+
+    Null where a number on the way is too large to hold.
+    """
 
     def cell(field: str) -> Column:
         return parse_amount(F.col(f"`{column_map[field]}`")) if field in column_map else F.lit(0).cast(WIDE)
@@ -80,8 +86,8 @@ def ledger_amount(column_map: dict[str, str], columns: list[str]) -> Column:
     if column_map.get("expression"):
         return amount_expression(column_map["expression"], columns)
     if "credit" in column_map or "debit" in column_map:
-        return cell("credit") - cell("debit")
-    return (cell("quantity") * cell("unit_price")).cast(WIDE)
+        return F.try_subtract(cell("credit"), cell("debit"))
+    return F.try_multiply(cell("quantity"), cell("unit_price")).try_cast(WIDE)
 
 
 def format_inr(amount: Column) -> Column:

@@ -7,48 +7,58 @@ from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import DATE_FORMATS
 
+# Common shapes tried after the fixed list: year first with slashes, times after dashes or dots, months in words.
+FURTHER_DATE_FORMATS = (
+    "yyyy/M/d", "yyyy/M/d H:m", "yyyy/M/d H:m:s", "yyyy.M.d", "d-M-yyyy H:m", "d-M-yyyy H:m:s", "d.M.yyyy H:m",
+    "d.M.yyyy H:m:s", "d MMMM yyyy", "MMM d, yyyy", "d-MMM-yyyy H:m", "d-MMM-yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy H:m:s",
+    "yyyyMMdd H:m:s",
+)
 
-# What the letters of a datetime pattern look like in a text.
-PATTERN_SHAPES = {
-    "yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}",
-    "M": "[0-9]{1,2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}", "H": "[0-9]{1,2}", "m": "[0-9]{1,2}", "s": "[0-9]{1,2}",
-}
+# Marks that stand for runs of letters and digits in the shape of a text, replaced in this order.
+SHAPE_MARKS = (
+    ("[A-Za-z]{4,}", "<>"), ("[A-Za-z]{3}", "<"), ("(?<![0-9])[0-9]{8}(?![0-9])", "="), ("(?<![0-9])[0-9]{4}(?![0-9])", "+"),
+    ("(?<![0-9])[0-9]{1,2}(?![0-9])", "_"),
+)
+PATTERN_MARKS = {"yyyyMMdd": "=", "yyyy": "+", "MMMM": "<>", "MMM": "<", **dict.fromkeys(("yy", "M", "d", "H", "m", "s"), "_")}
 
 
-def shape_of(pattern: str) -> str:
-    """Regular expression for the texts that can possibly fit a datetime pattern."""
-    if pattern == "yyyyMMdd":
-        return "^[0-9]{8}$"
-    pieces = re.split(r"([A-Za-z]+)", pattern)
-    return "^" + "".join(PATTERN_SHAPES.get(p, re.escape(p)) for p in pieces) + "$"
+def shapes_of(pattern: str) -> list[str]:
+    """Shapes of the texts that can fit a datetime pattern; a full month name may have three letters."""
+    shape = "".join(PATTERN_MARKS.get(p, p) for p in re.split(r"([A-Za-z]+)", pattern))
+    return [shape, shape.replace("<>", "<")] if "<>" in shape else [shape]
 
 
 def parse_date(raw: Column) -> Column:
     """First of the known formats that fits, day before month; null where none does.
 
-    The shape of the text picks its format, and a second one where day and month could be swapped, so at most two
-    attempts are made per row. Two-digit years 69-99 belong to the 1900s, as in POSIX.
+    A `T` between date and time, fractions of a second and a closing Z are set aside first. The shape of the text picks
+    its format, and a second one where day and month could be swapped, so at most two attempts are made per row. Two-digit
+    years 69-99 belong to the 1900s, as in POSIX.
     """
     text = F.regexp_replace(F.trim(raw), r"\s+", " ")
+    text = F.regexp_replace(text, r"([0-9])T([0-9])", "$1 $2")
+    text = F.regexp_replace(text, r"(:[0-9]{1,2})(\.[0-9]+)?Z?$", "$1")
     by_shape: dict[str, list[str]] = {}
-    for pattern in DATE_FORMATS:
-        by_shape.setdefault(shape_of(pattern), []).append(pattern)
-    likely, swapped = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for shape, patterns in reversed(by_shape.items()):
-        likely = F.when(text.rlike(shape), patterns[0]).otherwise(likely)
-        if len(patterns) > 1:
-            swapped = F.when(text.rlike(shape), patterns[1]).otherwise(swapped)
-    parsed = F.coalesce(F.try_to_timestamp(text, likely), F.try_to_timestamp(text, swapped)).cast("timestamp_ntz")
+    for pattern in (*DATE_FORMATS, *FURTHER_DATE_FORMATS):
+        for shape in shapes_of(pattern):
+            by_shape.setdefault(shape, []).append(pattern)
+    shape = text
+    for run, mark in SHAPE_MARKS:
+        shape = F.regexp_replace(shape, run, mark)
+
+    def known(n: int) -> Column:
+        pairs = [F.lit(x) for key, patterns in by_shape.items() if len(patterns) > n for x in (key, patterns[n])]
+        return F.try_element_at(F.create_map(*pairs), shape)
+
+    parsed = F.coalesce(F.try_to_timestamp(text, known(0)), F.try_to_timestamp(text, known(1))).cast("timestamp_ntz")
     centuries = F.when(text.rlike("[^0-9][0-9]{2}$") & ~text.rlike("[0-9]{4}") & (F.year(parsed) >= 2069), 100)
     return parsed - F.make_ym_interval(F.coalesce(centuries, F.lit(0)))
 
 
 def parse_voucher_date(raw: Column, as_of: Column) -> Column:
-    """yyyyMMdd; a blank date means `as_of`, anything else is null."""
+    """yyyyMMdd, or any other known format; a blank date means `as_of`, anything else is null."""
     text = F.trim(F.coalesce(raw, F.lit("")))
-    return F.when(text == "", as_of.cast("timestamp_ntz")).otherwise(
-        F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("timestamp_ntz")
-    )
+    return F.when(text == "", as_of.cast("timestamp_ntz")).otherwise(parse_date(text))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

@@ -104,9 +104,10 @@ def phone_digest(phone: Column) -> Column:
     return F.substring(F.sha2(phone, 256), 1, 12)
 
 
-def printable(text: Column, length: int = 100) -> Column:
-    """Control characters removed, cut to `length`, trimmed."""
-    return F.trim(F.substring(F.regexp_replace(text, r"[\x00-\x1f\x7f]", ""), 1, length))
+def printable(text: Column, length: int | None = None) -> Column:
+    """Control characters removed, trimmed; cut to `length` for display if one is given."""
+    clean = F.regexp_replace(text, r"[\x00-\x1f\x7f]", "")
+    return F.trim(clean if length is None else F.substring(clean, 1, length))
 
 
 def json_number(document: Column, path: str, to: str = "double") -> Column:

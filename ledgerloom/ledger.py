@@ -22,9 +22,9 @@ LEDGER_SCHEMA = T.StructType([
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Project onto the ledger schema; columns that are absent become null."""
+    """Project onto the ledger schema; columns that are absent, and amounts too large to hold, become null."""
     return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
         for f in LEDGER_SCHEMA
     ])
 

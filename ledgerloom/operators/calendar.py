@@ -66,9 +66,10 @@ def overlapping_events(
     """
     first, last = F.to_date(start), F.to_date(end)
     left = spans.withColumn("_month", F.explode(_months(first, last)))
-    right = calendar.filter(industry_matches(industry, F.col("industries"))).withColumn(
+    # The calendar is a fixed list of a few dozen events: it is what travels, never the spans.
+    right = F.broadcast(calendar.filter(industry_matches(industry, F.col("industries"))).withColumn(
         "_month", F.explode(_months(F.col("event_start"), F.col("event_end")))
-    )
+    ))
     both_begin = F.trunc(F.greatest(first, F.col("event_start")), "month")
     return (
         left.join(right, "_month")

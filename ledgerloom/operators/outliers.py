@@ -1,75 +1,28 @@
-"""Isolation-forest outlier weeks: one short weekly series per tenant, in a grouped Arrow function."""
+"""Outlier weeks by a robust score: distance from the tenant's median week in units of the median distance."""
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from ledgerloom.fixed_values import MIN_WEEKS_OUTLIER, OUTLIER_SEED, OUTLIER_SHARE
-from ledgerloom.plans.shared import runs_in_tasks
+from ledgerloom.fixed_values import MIN_WEEKS_OUTLIER, OUTLIER_SHARE
 
-runs_in_tasks(__name__)
-
-TREES = 100
-TREE_ROWS = 256
-_EULER = 0.5772156649
-SCHEMA = "tenant string, week_end date, revenue double, anomaly_score double"
-
-
-def _path_norm(n: np.ndarray) -> np.ndarray:
-    """Average depth of an unsuccessful search in a binary tree of n points."""
-    n = np.asarray(n, dtype=float)
-    big = np.where(n > 2, n, 3)
-    return np.where(n > 2, 2 * (np.log(big - 1) + _EULER) - 2 * (big - 1) / big, np.where(n == 2, 1.0, 0.0))
-
-
-def _tree_depths(sample: np.ndarray, points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Depth at which each point is isolated by one random tree grown on a sorted sample of a single feature.
-
-    All points go down the tree together. A node is a run of the sorted sample, known to a point by the ends of the
-    run; its random cut is drawn under the number of its first row, so points in one node see the same cut.
-    """
-    first, end = np.zeros(len(points), dtype=int), np.full(len(points), len(sample))
-    depths = np.zeros(len(points))
-    for _ in range(int(np.ceil(np.log2(max(len(sample), 2))))):
-        low, high = sample[first], sample[end - 1]
-        splits = high > low
-        cut = low + rng.random(len(sample))[first] * (high - low)
-        middle = np.clip(np.searchsorted(sample, cut, side="right"), first + 1, np.maximum(end - 1, first + 1))
-        left = points <= cut
-        end = np.where(splits & left, middle, end)
-        first = np.where(splits & ~left, middle, first)
-        depths += splits
-    return depths + _path_norm(end - first)
-
-
-def isolation_scores(values: np.ndarray, seed: int = OUTLIER_SEED) -> np.ndarray:
-    """Scores in [-1, 0): the lower, the easier a value is isolated."""
-    rng = np.random.default_rng(seed)
-    spread = values.std()
-    scaled = (values - values.mean()) / (spread if spread > 0 else 1.0)
-    rows = min(TREE_ROWS, len(scaled))
-    total = np.zeros(len(scaled))
-    for _ in range(TREES):
-        sample = np.sort(rng.choice(scaled, rows, replace=False))
-        total += _tree_depths(sample, scaled, rng)
-    return -np.power(2.0, -(total / TREES) / max(float(_path_norm(rows)), 1e-12))
-
-
-def _outlier_weeks(weeks: pd.DataFrame) -> pd.DataFrame:
-    if len(weeks) < MIN_WEEKS_OUTLIER:
-        return weeks.head(0).assign(anomaly_score=pd.Series(dtype=float))[
-            ["tenant", "week_end", "revenue", "anomaly_score"]
-        ]
-    weeks = weeks.sort_values("week_end")
-    scores = isolation_scores(weeks["revenue"].to_numpy(dtype=float))
-    weeks = weeks.assign(anomaly_score=scores)
-    threshold = np.percentile(scores, 100 * OUTLIER_SHARE)
-    return weeks.loc[scores < threshold, ["tenant", "week_end", "revenue", "anomaly_score"]]
+# Makes the median distance comparable to a standard deviation of normal data.
+NORMAL_SCALE = 1.4826
 
 
 def outlier_weeks(weekly: DataFrame) -> DataFrame:
-    """The most isolated tenth of the weeks of each tenant.
+    """The most unusual tenth of the weeks of each tenant, with scores in [-1, 0]: the lower, the more unusual.
 
-    A group is one tenant's weekly series, whose length is bounded by the calendar, not by the number of sales.
+    A window holds one tenant's weekly series, whose length is bounded by the calendar, not by the number of sales.
     """
-    return weekly.select("tenant", "week_end", "revenue").groupBy("tenant").applyInPandas(_outlier_weeks, SCHEMA)
+    own = Window.partitionBy("tenant")
+    revenue = F.col("revenue").cast("double")
+    middled = weekly.select("tenant", "week_end", "revenue").withColumns({
+        "_weeks": F.count("*").over(own), "_gap": F.abs(revenue - F.percentile(revenue, F.lit(0.5)).over(own)),
+    })
+    scaled = middled.withColumn("_scale", F.percentile("_gap", F.lit(0.5)).over(own) * NORMAL_SCALE)
+    size = F.when(F.col("_gap") == 0, 0.0).otherwise(F.col("_gap") / (F.col("_gap") + F.col("_scale")))
+    scored = scaled.withColumn("anomaly_score", -size)
+    scored = scored.withColumn("_limit", F.percentile("anomaly_score", F.lit(OUTLIER_SHARE)).over(own))
+    return scored.filter((F.col("_weeks") >= MIN_WEEKS_OUTLIER) & (F.col("anomaly_score") < F.col("_limit"))).select(
+        "tenant", "week_end", "revenue", "anomaly_score"
+    )

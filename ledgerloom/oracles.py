@@ -247,7 +247,9 @@ add("canonical_names", CANONICAL, "SELECT tenant, name, canonical FROM canon")
 add("merged_products", CANONICAL, """
 SELECT l.tenant, coalesce(canonical, p_name) AS product, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount
 FROM ledger l LEFT JOIN canon c ON c.tenant = l.tenant AND c.name = l.p_name GROUP BY ALL""")
-add("sampled_ledger", LEDGER, "SELECT tenant, least(count(*), 1000) AS n_rows FROM ledger GROUP BY tenant")
+add("sampled_ledger", LEDGER, """
+SELECT tenant, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger
+WHERE substr(md5(row_id || '42'), 1, 7) < printf('%07x', CAST(0.25 * 268435456 AS BIGINT)) GROUP BY tenant""")
 
 
 # --- Anomalies ---
@@ -621,6 +623,28 @@ add("csv_ledger", f"{LEDGER}, {TYPED}", """
 SELECT tenant, customer, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount, sum(quantity) AS quantity,
        min(date) AS first_date, count(*) FILTER (product = 'General') AS n_general
 FROM typed WHERE quantity <> 1 AND amount <> 0 GROUP BY tenant, customer""")
+ORACLES["csv_quoted"] = """
+SELECT 'Ram "R", Sons ' || doc_id AS customer, md5('say "' || text || '",' || chr(10) || 'end') AS product_md5,
+       CAST(n_chars AS DOUBLE) AS amount, TIMESTAMP '2026-01-02 10:00:00' AS date FROM documents"""
+ORACLES["csv_mixed_headers"] = """
+SELECT 'C' || o_custkey AS customer, o_orderpriority AS product, count(*) AS n_rows,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, min(date_trunc('day', o_orderdate)) AS first_date
+FROM orders GROUP BY ALL"""
+ORACLES["csv_bad_cells"] = """
+SELECT 'shop' AS tenant, count(*) AS rows_read, count(*) FILTER (o_orderkey % 7 = 0) AS failed_dates, 0 AS zero_amounts,
+       count(*) FILTER (o_orderkey % 5 = 0) AS bad_amounts, count(*) FILTER (o_orderkey % 11 = 0) AS malformed_rows,
+       count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0) AS rows_dropped, true AS good_result, true AS good_columns
+FROM orders"""
+ORACLES["xml_company"] = """
+SELECT CASE WHEN c_nationkey % 3 < 2 THEN 'Firm ' || c_nationkey ELSE 'c_nationkey=' || c_nationkey END AS company,
+       'Goods' AS product, count(*) AS n_rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
+add("outlier_weeks_by_median", f"""{LEDGER}, {weekly('ledger')},
+far AS (SELECT *, abs(revenue - quantile_cont(revenue, 0.5) OVER t) AS gap, count(*) OVER t AS n FROM weekly WINDOW t AS (PARTITION BY tenant)),
+scaled AS (SELECT *, 1.4826 * quantile_cont(gap, 0.5) OVER (PARTITION BY tenant) AS scale FROM far),
+scored AS (SELECT *, CASE WHEN gap = 0 THEN 0.0 ELSE -gap / (gap + scale) END AS score FROM scaled),
+cut AS (SELECT *, quantile_cont(score, 0.1) OVER (PARTITION BY tenant) AS low FROM scored)""", """
+SELECT tenant, week_end, revenue, round(score, 6) AS anomaly_score FROM cut WHERE n >= 4 AND score < low""")
 add("csv_ingest_stats", LEDGER, """
 SELECT tenant, count(*) AS rows_read, 0 AS failed_dates, count(*) FILTER (quantity = 1 OR amount = 0) AS zero_amounts,
        count(*) FILTER (quantity = 1 OR amount = 0) AS rows_dropped,
@@ -659,8 +683,8 @@ SELECT page_id, CASE WHEN h LIKE 'FFD8FF%' OR h LIKE '89504E47%' THEN 'image'
 
 # --- Scalar functions ---
 ORACLES["date_parsing"] = """
-SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL
-  WHEN o_orderkey % 8 = 6 AND day(o_orderdate) <= 12
+SELECT o_orderkey, CASE WHEN o_orderkey % 16 = 7 THEN NULL
+  WHEN o_orderkey % 16 = 6 AND day(o_orderdate) <= 12
     THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))
   ELSE CAST(o_orderdate AS DATE) END AS parsed FROM orders"""
 ORACLES["amount_expressions"] = """
@@ -693,7 +717,7 @@ q AS (SELECT c_custkey, CASE WHEN d LIKE '+%' THEN d ELSE '+' || d END AS phone
 SELECT c_custkey, phone, CASE WHEN phone LIKE '+91%' THEN regexp_full_match(phone, '\+91\d{10}')
   ELSE regexp_full_match(phone, '\+\d{10,15}') END AS phone_valid, left(sha256(phone), 12) AS digest FROM q"""
 ORACLES["printable_names"] = r"""
-SELECT doc_id, trim(left(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g'), 100)) AS safe FROM documents"""
+SELECT doc_id, trim(regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')) AS safe FROM documents"""
 ORACLES["json_paths"] = """
 SELECT event_id, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) AS k, CAST(NULL AS VARCHAR) AS missing
 FROM events"""
@@ -707,7 +731,7 @@ def any_of(words: tuple[str, ...]) -> str:
 INTENT = "CASE" + "".join(f" WHEN {any_of(w)} THEN '{n}'" for n, w in INTENT_TOKENS) + " ELSE 'ai_generated' END"
 add("message_intents", MESSAGES, f"""
 SELECT message_id, left(sha256(phone), 12) AS phone_hash, direction,
-       CASE WHEN direction = 'inbound' THEN {INTENT} END AS intent_detected, least(length(trim(text)), 2000) AS n_chars
+       CASE WHEN direction = 'inbound' THEN {INTENT} END AS intent_detected, length(trim(text)) AS n_chars
 FROM (SELECT *, lower(trim(text)) AS t FROM messages) WHERE t <> ''""")
 add("message_routes", MESSAGES, f"""
 SELECT message_id, CASE WHEN t IN ({', '.join(quoted(g) for g in GREETINGS)}) THEN 'help'

@@ -1,5 +1,6 @@
 """The shared folder of the cluster: where lineage is cut and staged tables are written."""
 
+import re
 import sys
 import tempfile
 import uuid
@@ -17,9 +18,12 @@ def runs_in_tasks(module: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; only where that is unset (tests) a temporary one is chosen."""
+    """The folder named by `spark.checkpoint.dir`. A session on one machine may leave it unset and gets a folder of its own;
+    on a cluster that would scatter the parts over the executors' disks, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)

@@ -218,9 +218,8 @@ def merged_products(spark, sf_dir):
 
 @query
 def sampled_ledger(spark, sf_dir):
-    return cleaning.sample_ledger(staged_ledger(spark, sf_dir), 1000).groupBy("tenant").agg(
-        F.count("*").alias("n_rows")
-    )
+    sampled = cleaning.sample_ledger(staged_ledger(spark, sf_dir), 0.25)
+    return plain(sampled.groupBy("tenant").agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount")))
 
 
 # --- Anomalies ------------------------------------------------------------------------------------------------------
@@ -273,13 +272,14 @@ def zscore_weeks(spark, sf_dir):
 
 
 @query
-def outlier_weeks_by_isolation(spark, sf_dir):
-    return outlier_weeks(anomalies.weekly_revenue(staged_ledger(spark, sf_dir)))
+def outlier_weeks_by_median(spark, sf_dir):
+    found = outlier_weeks(anomalies.weekly_revenue(staged_ledger(spark, sf_dir)))
+    return found.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
 @query
 def anomaly_report(spark, sf_dir):
-    """All anomalies but the isolation-forest ones, whose scores SQL cannot give."""
+    """All anomalies but the outlier weeks, which outlier_weeks_by_median compares."""
     found = found_anomalies(spark, sf_dir).filter(F.col("anomaly_type") != "revenue_anomaly_ml")
     return found.select(
         "tenant", "anomaly_type", "severity", F.round("confidence", 6).alias("confidence"), "entity"
@@ -646,6 +646,55 @@ def csv_ledger(spark, sf_dir):
     ))
 
 
+@query
+def csv_quoted(spark, sf_dir):
+    """Whole documents as cells, with doubled quotes, separators and line breaks: no row is lost and no cell shifts."""
+    path = new_folder(spark, "csv-quoted")
+    read_table(spark, sf_dir, "documents").select(
+        F.lit("2026-01-02T10:00:00").alias("Date"), F.concat(F.lit('Ram "R", Sons '), F.col("doc_id").cast("string")).alias("Party"),
+        F.concat(F.lit('say "'), "text", F.lit('",\nend')).alias("Item"), F.col("n_chars").cast("string").alias("Amount"),
+    ).write.options(header=True, escape='"', quoteAll=True).csv(path)
+    ledger, _ = delimited.read_ledger_csv(spark, path, ["Date", "Party", "Item", "Amount"], F.lit("shop"))
+    return plain(ledger.select("customer", F.md5(F.encode("product", "UTF-8")).alias("product_md5"), "amount", "date"))
+
+
+@query
+def csv_mixed_headers(spark, sf_dir):
+    """Files of one folder whose columns stand in different order and under different names."""
+    path = new_folder(spark, "csv-mixed")
+    order = read_table(spark, sf_dir, "orders")
+    day, total = F.date_format("o_orderdate", "yyyy/MM/dd"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    party, item = F.concat(F.lit("C"), F.col("o_custkey").cast("string")), F.col("o_orderpriority")
+    odd = F.col("o_orderkey") % 2 == 1
+    order.filter(odd).select(day.alias("Date"), party.alias("Party"), item.alias("Item"), total.alias("Amount")).write.option(
+        "header", True).csv(f"{path}/part=a")
+    order.filter(~odd).select(item.alias("Product"), party.alias("Customer Name"), total.alias("Net Amount"), day.alias("Bill Date")).write.option(
+        "header", True).csv(f"{path}/part=b")
+    ledger, _ = delimited.read_ledger_mixed(spark, [f"{path}/part=a", f"{path}/part=b"], F.lit("shop"))
+    return plain(ledger.groupBy("customer", "product").agg(
+        F.count("*").alias("n_rows"), F.sum("amount").alias("amount"), F.min("date").alias("first_date")
+    ))
+
+
+@query
+def csv_bad_cells(spark, sf_dir):
+    """Amounts too large to hold, words for dates and rows with a missing cell are counted and stop nothing."""
+    path = new_folder(spark, "csv-bad")
+    key = F.col("o_orderkey")
+    cells = [
+        F.when(key % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "d MMMM yyyy")),
+        F.when(key % 5 == 0, "8901234567890123456789").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")),
+        F.when(key % 11 != 0, F.col("o_orderpriority")),
+    ]
+    lines = read_table(spark, sf_dir, "orders").select(F.concat_ws(",", *cells).alias("value"))
+    lines.write.text(f"{path}/data")
+    _, stats = delimited.read_ledger_csv(spark, f"{path}/data", ["Date", "Amount", "Item"], F.lit("shop"), header=False)
+    return stats.groupBy("tenant").agg(
+        *[F.sum(c).alias(c) for c in ("rows_read", "failed_dates", "zero_amounts", "bad_amounts", "malformed_rows", "rows_dropped")],
+        F.bool_and("good_result").alias("good_result"), F.bool_and("good_columns").alias("good_columns"),
+    )
+
+
 @query
 def csv_ingest_stats(spark, sf_dir):
     _, stats = delimited.read_ledger_csv(spark, messy_csv(spark, sf_dir), CSV_COLUMNS, F.col("Branch"))
@@ -702,6 +751,37 @@ def xml_ingest_stats(spark, sf_dir):
     )
 
 
+@query
+def xml_company(spark, sf_dir):
+    """One file per nation: the company below a data element, below the header, or nowhere; half of the lines lie deeper."""
+    order = read_table(spark, sf_dir, "orders").join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    company = F.concat(F.lit("Firm "), F.col("c_nationkey").cast("string"))
+    total = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    line = F.concat(
+        F.lit("<ALLLEDGERENTRIES.LIST><LEDGERNAME>Goods</LEDGERNAME><AMOUNT>-"), total, F.lit("</AMOUNT></ALLLEDGERENTRIES.LIST>")
+    )
+    deep = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<BATCH><PART>"), line, F.lit("</PART></BATCH>"))).otherwise(line)
+    voucher = F.concat(
+        F.lit('<VOUCHER VCHTYPE="Sales"><DATE>'), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("</DATE><VOUCHERNUMBER>"),
+        F.col("o_orderkey").cast("string"), F.lit("</VOUCHERNUMBER>"), deep, F.lit("</VOUCHER>"),
+    )
+    request = F.lit("<ENVELOPE><HEADER><TALLYREQUEST>Export</TALLYREQUEST></HEADER><BODY>")
+    kind = F.col("c_nationkey") % 3
+    named = F.when(kind == 0, F.concat(F.lit("<DATA><COMPANYNAME>"), company, F.lit("</COMPANYNAME></DATA>"))).when(
+        kind == 1, F.concat(F.lit("<X><BASICCOMPANYNAME>"), company, F.lit("</BASICCOMPANYNAME></X>"))
+    ).otherwise("")
+    nation = order.select("c_nationkey").distinct()
+    lines = order.select("c_nationkey", F.lit(1).alias("place"), voucher.alias("value")).unionByName(
+        nation.select("c_nationkey", F.lit(0).alias("place"), F.concat(request, named).alias("value"))
+    ).unionByName(nation.select("c_nationkey", F.lit(2).alias("place"), F.lit("</BODY></ENVELOPE>").alias("value")))
+    path = new_folder(spark, "xml-company")
+    placed = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "place")
+    placed.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    ledger, _ = voucher_xml.read_ledger_xml(spark, path, V.AS_OF)
+    firm = F.when(F.col("tenant").startswith("Firm "), F.col("tenant")).otherwise(F.regexp_extract("tenant", r"^(Unknown Company ).*(c_nationkey=\d+)", 2))
+    return plain(ledger.groupBy(firm.alias("company"), "product").agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount")))
+
+
 @query
 def file_types(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select(
@@ -728,8 +808,10 @@ def stored_results(spark, sf_dir):
 @query
 def date_parsing(spark, sf_dir):
     """Order dates written in many formats and read back; month-first dates come back day-first where they can."""
-    date, style = F.col("o_orderdate"), F.col("o_orderkey") % 8
-    patterns = ("dd/MM/yyyy", "dd-MM-yy", "yyyy-MM-dd HH:mm", "yyyyMMdd", "d MMM yyyy", "d.M.yy", "M/d/yyyy", "'n/a'")
+    date, style = F.col("o_orderdate"), F.col("o_orderkey") % 16
+    patterns = ("dd/MM/yyyy", "dd-MM-yy", "yyyy-MM-dd HH:mm", "yyyyMMdd", "d MMM yyyy", "d.M.yy", "M/d/yyyy", "'n/a'",
+                "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "dd-MMM-yyyy", "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss.S", "d MMMM yyyy",
+                "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy/MM/dd HH:mm:ss")
     written = F.lit("none")
     for number, pattern in enumerate(patterns):
         written = F.when(style == number, F.date_format(date, pattern)).otherwise(written)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.fixed_values import FALLBACK_INTENT, GREETINGS, INTENT_TOKENS, MESSAGE_CHARS, UPLOAD_WORDS
+from ledgerloom.fixed_values import FALLBACK_INTENT, GREETINGS, INTENT_TOKENS, UPLOAD_WORDS
 from ledgerloom.functions.text import phone_digest
 
 
@@ -40,10 +40,10 @@ def route(text: Column, whitelisted: Column) -> Column:
 
 
 def log_rows(messages: DataFrame) -> DataFrame:
-    """Rows for the message log: trimmed, non-empty, cut to 2,000 characters, with intent and hashed phone."""
+    """Rows for the message log: trimmed, non-empty, whole, with intent and hashed phone."""
     text = F.trim(F.coalesce(F.col("message_text"), F.lit("")))
     return messages.filter(text != "").select(
         "message_id", "user_id", "phone_number", phone_digest(F.col("phone_number")).alias("phone_hash"),
-        "direction", F.substring(text, 1, MESSAGE_CHARS).alias("message_text"),
+        "direction", text.alias("message_text"),
         F.when(F.col("direction") == "inbound", intent(text)).alias("intent_detected"), "created_at",
     )

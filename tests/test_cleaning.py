@@ -77,7 +77,9 @@ def test_missing_amounts_and_columns(make_ledger):
     assert "Required column 'amount' is missing entirely." in report["issues"]
 
 
-def test_sample_keeps_small_ledgers_whole(make_ledger):
-    ledger = make_ledger([("a", "2026-01-01", "c", str(i), 1) for i in range(50)] + [("b", "2026-01-01", "c", "p", 1)] * 3)
-    counts = {r["tenant"]: r["count"] for r in cleaning.sample_ledger(ledger, 10).groupBy("tenant").count().collect()}
-    assert counts == {"a": 10, "b": 3}
+def test_sample_takes_a_share_by_hash(make_ledger):
+    ledger = make_ledger([("a", "2026-01-01", "c", str(i), 1) for i in range(2000)])
+    drawn = {r["row_id"] for r in cleaning.sample_ledger(ledger, 0.3).collect()}
+    assert 500 < len(drawn) < 700
+    assert drawn < {r["row_id"] for r in cleaning.sample_ledger(ledger, 0.6).collect()}
+    assert cleaning.sample_ledger(ledger, 1).count() == 2000 and cleaning.sample_ledger(ledger, 0).count() == 0

@@ -68,10 +68,28 @@ def test_dates(spark):
     assert dict(zip(cases, got)) == cases
 
 
+def test_dates_in_further_shapes(spark):
+    cases = ["2026-01-02T10:00:00", "2026/01/05", "15-JAN-2026", "02-01-2026 10:30", "2026-01-02 10:30:00.0", "1 January 2026",
+             "2026-01-02T10:00:00.123Z", "May 3, 2026", "32/01/2026", "2026-13-45", "", None]
+    day = datetime.datetime
+    assert values(spark, dates.parse_date, cases) == [
+        day(2026, 1, 2, 10), day(2026, 1, 5), day(2026, 1, 15), day(2026, 1, 2, 10, 30), day(2026, 1, 2, 10, 30), day(2026, 1, 1),
+        day(2026, 1, 2, 10), day(2026, 5, 3), None, None, None, None]
+
+
+def test_numbers_too_large_are_null(spark):
+    got = values(spark, amounts.parse_amount, ["1" * 40, "1e60", "12.5", "x1"])
+    assert got[:2] == [None, None] and [float(v) for v in got[2:]] == [12.5, 0]
+    rows = spark.createDataFrame([("1e25", "1e12"), ("3", "4")], "a string, b string")
+    found = [r[0] for r in rows.select(amounts.amount_expression("a * b", ["a", "b"])).collect()]
+    assert found[0] is None and float(found[1]) == 12
+
+
 def test_voucher_dates(spark):
     as_of = F.lit("2026-05-01").cast("timestamp_ntz")
     got = values(spark, lambda c: dates.parse_voucher_date(c, as_of), ["20260115", "", None, "15-01-2026", "20261399"])
-    assert got == [datetime.datetime(2026, 1, 15), datetime.datetime(2026, 5, 1), datetime.datetime(2026, 5, 1), None, None]
+    assert got == [datetime.datetime(2026, 1, 15), datetime.datetime(2026, 5, 1), datetime.datetime(2026, 5, 1),
+                   datetime.datetime(2026, 1, 15), None]
 
 
 def test_whole_days_round_down(spark):
@@ -91,7 +109,8 @@ def test_phones(spark):
 
 def test_small_texts(spark):
     assert values(spark, text.signed_percent, [4.25, -3.0, 0.0, None, 0.05], "double") == ["+4.3%", "-3.0%", "0%", "—", "+0.1%"]
-    assert values(spark, text.printable, ["\ta\x00b\x7f  ", "x" * 150]) == ["ab", "x" * 100]
+    assert values(spark, text.printable, ["\ta\x00b\x7f  ", "x" * 150]) == ["ab", "x" * 150]
+    assert values(spark, lambda c: text.printable(c, 100), ["x" * 150]) == ["x" * 100]
     assert values(spark, lambda c: text.fixed(c), [20.25, 1234.56, -0.5], "double") == ["20.2", "1234.6", "-0.5"]
     now = F.lit("2026-01-10 12:00:00").cast("timestamp_ntz")
     moments = ["2026-01-07 11:00:00", "2026-01-10 09:30:00", "2026-01-10 11:58:00", "2026-01-10 11:59:30"]
