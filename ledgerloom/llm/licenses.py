@@ -101,25 +101,25 @@ class Matcher:
 def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """Add own_license, similarity, own_line (which line with words it is, from 0) and only_license (whether all are such)."""
     templates = TEMPLATES if templates is None else templates
-    frequency, n = term_frequencies(files, templates)
+    frequency, count = term_frequencies(files, templates)
     made: list[Matcher] = []
 
     def run(part: pa.RecordBatch) -> list[pa.Array]:
         if not made:
-            made.append(Matcher(templates, frequency, n, threshold))
+            made.append(Matcher(templates, frequency, count, threshold))
         matcher = made[0]
         names, values, places, only = [], [], [], []
         for text in texts_of(part):
-            best, place, whole, n = (None, 0.0), None, True, -1
+            best, place, whole, number = (None, 0.0), None, True, -1
             for line in (text or b"").splitlines():
                 own = words(line)
                 if not own:
                     continue
-                n += 1
+                number += 1
                 hit = matcher.match(line) if not matcher.marks.isdisjoint(own) else (None, 0.0)
                 whole = whole and hit[0] is not None
                 if hit[0] is not None and (-hit[1], hit[0]) < (-best[1], best[0] or "~"):
-                    best, place = hit, n
+                    best, place = hit, number
             names.append(best[0])
             values.append(best[1])
             places.append(place)

@@ -4,7 +4,7 @@ Documents become pieces of at most `capacity` tokens. Full pieces are sequences
 random into lots of bounded size. Each lot is evolved on several islands, every island in a task of its own: crossover
 injects whole well-filled bins of one parent into another, takes out the bins that held the same documents, and
 best-fits what that displaced. After each epoch the best packing of an island moves to the next one of its lot; the
-best of all islands is the lot's packing. An island at the lower bound, ceil(tokens / capacity), stops.
+best of all islands is the lot's packing. An island that needs no more bins than any packing must stops.
 
 Defined results: a null text is an empty document, which is one piece holding only the closing id. Repeated rows and rows
 without id are packed each for itself. An empty table gives no rows. Very long texts are encoded whole and cut. Only the
@@ -157,7 +157,8 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS) -> list[np.ndarray]:
     """The population after some generations, best first; starts one if it is empty."""
     rng = np.random.default_rng(seed)
-    bound = -(-int(sizes.sum()) // capacity)
+    # No two pieces of more than half a sequence share one.
+    bound = max(-(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))
     if not population:
         population = [first_packing(sizes, capacity, None)]
         if -fitness(population[0], sizes, capacity)[0] > bound:
