@@ -33,10 +33,10 @@ def _whole_names(names: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame
     start = {"_anchor": F.lit(""), "_rest": F.col("name"), "_rest_long": F.col("_long"),
              "_edits": _edits(F.col("_long"), threshold)}
     size = F.length("name")
-    longer = names.select("tenant", "name", size.alias("_long")).withColumns(start).filter("_edits >= 1")
+    longer = names.select("tenant", "name", "_label", size.alias("_long")).withColumns(start).filter("_edits >= 1")
     reach = F.floor(size * 100 / threshold).cast("int")
     shorter = (
-        names.filter(size > 0).select("tenant", "name", F.explode(F.sequence(size, reach)).alias("_long"))
+        names.filter(size > 0).select("tenant", "name", "_label", F.explode(F.sequence(size, reach)).alias("_long"))
         .withColumns(start)
         .filter((F.col("_edits") >= 1) & (F.col("_long") - size <= F.col("_edits")))
     )
@@ -73,7 +73,7 @@ def _anchored(rows: DataFrame, is_longer: bool) -> DataFrame:
     before, behind = F.col("_start"), F.col("_rest_long") - F.col("_start") - F.col("_size")
     open_left = before > behind
     return placed.select(
-        "tenant", "name", "_long",
+        "tenant", "name", "_label", "_long",
         F.concat_ws("\u0001", "_anchor", F.col("_no").cast("string"), piece).alias("_anchor"),
         F.when(open_left, F.left("_rest", F.col("_at")))
         .otherwise(F.substring("_rest", F.col("_at") + F.col("_size") + 1, F.length("_rest"))).alias("_rest"),
@@ -85,24 +85,26 @@ def _anchored(rows: DataFrame, is_longer: bool) -> DataFrame:
 def _pairs_on_anchor(longer: DataFrame, shorter: DataFrame, salts: int = 1) -> DataFrame:
     """Names that meet on an anchor; with several salts the pairs of one anchor are made by as many tasks."""
     salt = F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int")
-    left = longer.select(*KEY, F.col("name").alias("long_name"), salt.alias("_salt"))
+    left = longer.select(*KEY, F.col("name").alias("long_name"), F.col("_label").alias("_long_label"), salt.alias("_salt"))
     right = shorter.select(
-        *KEY, F.col("name").alias("short_name"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+        *KEY, F.col("name").alias("short_name"), "_label", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
-    return left.join(right, [*KEY, "_salt"]).filter(
+    return left.join(right, [*KEY, "_salt"]).filter(F.col("_label") != F.col("_long_label")).filter(
         (F.length("short_name") < F.col("_long")) | (F.col("short_name") < F.col("long_name"))
     ).select("tenant", "_long", "long_name", "short_name")
 
 
 def _anchor_sizes(longer: DataFrame, shorter: DataFrame) -> DataFrame:
-    """Pairs each anchor would make, and whether its open part can still be cut."""
+    """Pairs each anchor would make, whether its open part can still be cut, and whether all its names are joined already."""
+    labels = [F.min("_label").alias("_low"), F.max("_label").alias("_high")]
     long_side = longer.groupBy(*KEY).agg(
-        F.count("*").alias("_n"), (F.min("_rest_long") > F.min("_edits")).alias("_can_cut")
-    )
-    short_side = shorter.groupBy(*KEY).agg(F.count("*").alias("_m"))
-    return pinned(
-        long_side.join(short_side, KEY).select(*KEY, (F.col("_n") * F.col("_m")).alias("_pairs"), "_can_cut")
+        F.count("*").alias("_n"), (F.min("_rest_long") > F.min("_edits")).alias("_can_cut"), *labels
     )
+    short_side = shorter.groupBy(*KEY).agg(F.count("*").alias("_m"), *[c.alias(f"_short{i}") for i, c in enumerate(labels)])
+    one = (F.col("_low") == F.col("_high")) & (F.col("_short0") == F.col("_low")) & (F.col("_short1") == F.col("_low"))
+    return pinned(long_side.join(short_side, KEY).select(
+        *KEY, F.when(one, 0).otherwise(F.col("_n") * F.col("_m")).alias("_pairs"), "_can_cut", one.alias("_settled")
+    ))
 
 
 def similar_pairs(
@@ -115,7 +117,12 @@ def similar_pairs(
     every product, is not joined on: its rows are given a second anchor in the part still open, and so on, so a common
     word does not pair up all the names that hold it. Where a further anchor would not lower the number of pairs, the
     names really are alike and their pairs are made by many tasks.
+
+    With a column `_label`, only pairs of different labels are returned, and anchors whose names all bear one label are
+    left out before any pair is made.
     """
+    if "_label" not in names.columns:
+        names = names.withColumn("_label", F.col("name"))
     sides = _whole_names(names, threshold)
     candidates, before, before_pairs = None, None, 0
     while True:
@@ -124,10 +131,12 @@ def similar_pairs(
         if before and (sizes.agg(F.sum("_pairs")).first()[0] or 0) >= before_pairs:
             candidates = candidates.unionByName(_pairs_on_anchor(*before, salts=SALTS))
             break
-        crowd = sizes.filter((F.col("_pairs") > crowded_pairs) & F.col("_can_cut"))
-        crowded, before_pairs = crowd.agg(F.count("*"), F.sum("_pairs")).first()
-        marks = crowd.select(*KEY, F.lit(True).alias("_crowded"))
-        marked = [lookup_join(s, marks, KEY, "left", spread_by=["name"], right_rows=crowded) for s in sides]
+        crowd = F.col("_pairs") > crowded_pairs
+        crowded, before_pairs, settled = sizes.agg(
+            F.count_if(crowd & F.col("_can_cut")), F.sum(F.when(crowd & F.col("_can_cut"), F.col("_pairs"))), F.count_if("_settled")
+        ).first()
+        marks = sizes.filter(crowd & F.col("_can_cut") | F.col("_settled")).select(*KEY, (~F.col("_settled")).alias("_crowded"))
+        marked = [lookup_join(s, marks, KEY, "left", spread_by=["name"], right_rows=crowded + settled) for s in sides]
         found = _pairs_on_anchor(*[side.filter(F.col("_crowded").isNull()) for side in marked])
         candidates = found if candidates is None else candidates.unionByName(found)
         if crowded == 0:
@@ -145,6 +154,24 @@ def similar_pairs(
     )
 
 
+def sure_links(names: DataFrame, threshold: int = NAME_SIMILARITY) -> DataFrame:
+    """Links (tenant, name_a, name_b) that need no check: names that are equal without one letter each are two edits apart.
+
+    Every name is listed once per letter left out and linked to the smallest name of each list, so the links grow with
+    the names and not with their pairs. Only names long enough to take two edits.
+    """
+    size = F.length("name")
+    keyed = cut_lineage(
+        names.filter(_edits(size, threshold) >= 2).withColumn("_at", F.explode(F.sequence(F.lit(1), size)))
+        .select("tenant", "name", F.concat(F.left("name", F.col("_at") - 1), F.substring("name", F.col("_at") + 1, size)).alias("_key"))
+    )
+    lowest = keyed.groupBy("tenant", "_key").agg(F.min("name").alias("name_a"), F.max("name").alias("_last"))
+    lowest = lowest.filter("name_a < _last").drop("_last")
+    return keyed.join(lowest, ["tenant", "_key"]).filter("name_a < name").select(
+        "tenant", "name_a", F.col("name").alias("name_b")
+    ).distinct()
+
+
 def connected_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Transitive closure of the pairs: every node with the smallest name of its group as label.
 
@@ -186,7 +213,10 @@ def canonical_names(
     Names seen fewer than `min_count` times take no part.
     """
     names = cut_lineage(counts.filter(F.col("n") >= min_count))
-    groups = connected_groups(names, similar_pairs(names, threshold))
+    sure = cut_lineage(sure_links(names, threshold))
+    joined = connected_groups(names, sure).withColumnRenamed("label", "_label")
+    pairs = similar_pairs(names.join(joined, ["tenant", "name"]), threshold).select("tenant", "name_a", "name_b")
+    groups = connected_groups(names, pairs.unionByName(sure))
     sized = cut_lineage(groups.join(names, ["tenant", "name"]))
     best = sized.groupBy("tenant", "label").agg(
         F.min_by("name", F.struct(-F.length("name"), -F.col("n"), F.col("name"))).alias("canonical")

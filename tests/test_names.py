@@ -61,3 +61,11 @@ def test_canonical_name_is_the_longest(make_ledger):
         "Surf Excell": 5, "Tata Salt": 2, "Tata Sallt": 1,
     }
     assert mapping.filter("name = 'Surf Excel'").first()["canonical"] == "Surf Excell"
+
+
+def test_numbered_names_are_joined_without_their_pairs(spark):
+    rows = [("t", f"Samsung Galaxy Phone Model {i:05d}", 2) for i in range(3000)] + [("t", "Tata Salt Packet Family", 2), ("t", "Tata Salt Packet Famili", 3)]
+    counts = spark.createDataFrame(rows, "tenant string, name string, n long")
+    assert names.sure_links(counts).count() < 20 * len(rows)
+    found = names.canonical_names(counts)
+    assert {r["canonical"][:12]: r["count"] for r in found.groupBy("canonical").count().collect()} == {"Samsung Gala": 3000, "Tata Salt Pa": 2}
