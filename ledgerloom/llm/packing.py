@@ -36,25 +36,64 @@ GENERATIONS = 8
 REMEMBERED_WORDS = 300_000
 
 
+# Marks that end a word; behind a letter the tokenizer always starts a new token with them.
+CLOSING_MARKS = ".,;:!?"
+# The tokenizer marks the last token of a word so.
+WORD_END = "</w>"
+JOINED_WORDS = 500
+
+
 class Encoder:
     """Ids of a text, as little-endian 32-bit numbers. The tokenizer treats words between ASCII blanks one by one: it
-    normalises and splits inside them alone, so the ids of a word are looked up if it was met before."""
+    normalises and splits inside them alone, so the ids of a word are looked up if it was met before. New words that are
+    all letters, but for closing marks, are encoded many at a time and told apart by the tokens that end a word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        groups = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) == len(group):
+                packed, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                self.letters.update((w, packed[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+            else:
+                self.letters.update((w, own.tobytes()) for w, own in zip(group, self._encode(group)))
+
+    def _learn(self, new: list[bytes]) -> None:
+        split, others = [], []
+        for raw in new:
+            word = raw.decode()
+            core = word.rstrip(CLOSING_MARKS)
+            if core.isalpha():
+                split.append((raw, core.lower() if core.isascii() else core, word[len(core) :]))
+            else:
+                others.append(word)
+        self._learn_letters(list({core for _, core, _ in split}.difference(self.letters)))
+        wholes = list({*others, *(tail for _, _, tail in split)})
+        found = {w: ids.tobytes() for w, ids in zip(wholes, self._encode(wholes))}
+        self.known.update((w.encode(), found[w]) for w in others)
+        letters = self.letters
+        self.known.update((raw, letters[core] + found[tail]) for raw, core, tail in split)
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
+            self.known, self.letters = {}, {}
         new = list({w for words in texts for w in words}.difference(self.known))
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            self._learn(new[k : k + 20_000])
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in texts]
 

@@ -101,7 +101,7 @@ def word_tokenizer():
 
 def test_pieces_round_trip(spark, prose, word_tokenizer):
     texts = [None, "", " \n", "It's 12 o'clock — naïve ÉCOLE x y", "é İ \x1c a\x1cb ½ 漢字 日本", "word " * 5000, prose(1, 3000),
-             "<|endoftext|> a<|startoftext|>b", "x" * 20000, "a̸ < ̸ ≠", "don't we'll THEY'VE"]
+             "<|endoftext|> a<|startoftext|>b", "x" * 20000, "a̸ < ̸ ≠", "don't we'll THEY'VE", "İstanbul, ISTANBUL. word,word word... K! ǅ? Σας, ΣΑΣ. ﬁne; e\u0301a\u0301: 3rd. x²! … a…, <, <|endoftext|>."]
     docs = spark.createDataFrame([*enumerate(texts), (None, "no id"), (3, "twice")], "doc_id long, text string").withColumn("piece", F.lit("clash"))
     pieces = packing.encode_pieces(docs, word_tokenizer, 100, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(word_tokenizer)
