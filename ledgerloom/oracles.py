@@ -448,6 +448,16 @@ add("season_around_orders", calendar(), """
 SELECT s.tenant, count(no) > 0 AS in_season, count(no) AS n_events FROM spans s
 LEFT JOIN cal ON ref - 14 <= d2 AND d1 <= ref + 14 GROUP BY s.tenant""")
 
+add("anomalies_in_season", f"""{WIDE}, moved AS (SELECT * REPLACE (date + INTERVAL 24 YEAR AS date) FROM wide),
+{slow('moved')}, {churn('moved')}, {drop('moved')}, {weekly('moved')}, {calendar().split("spans AS")[0]}
+refs AS (SELECT tenant, CAST(max(date) AS DATE) AS ref FROM moved GROUP BY tenant),
+season AS (SELECT tenant, count(no) > 0 AS busy, coalesce(string_agg(note, '|' ORDER BY no), '') AS notes
+  FROM refs LEFT JOIN cal ON ref - 14 <= d2 AND d1 <= ref + 14 GROUP BY tenant),
+report AS (SELECT tenant, anomaly_type, severity, entity FROM slow UNION ALL SELECT tenant, anomaly_type, severity, entity FROM churn
+  UNION ALL SELECT tenant, 'revenue_drop', CASE WHEN busy THEN 'MEDIUM' ELSE 'HIGH' END, 'global' FROM dropped JOIN season USING (tenant)
+  UNION ALL SELECT tenant, 'revenue_anomaly_zscore', 'MEDIUM', CAST(week_end AS VARCHAR) FROM z)""", """
+SELECT tenant, anomaly_type, severity, entity, notes FROM report JOIN season USING (tenant)""")
+
 # --- Portfolio ---
 UPLOADS = """uploads AS (
   SELECT o_orderkey AS upload_id, o_custkey AS user_id, o_custkey AS client_id,

@@ -1,12 +1,17 @@
 """Joins, top-k and ranking that hold up when one key owns a large share of the rows."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.shared import cut_lineage
 
-# A lookup side is broadcast only when it was counted and has at most this many (narrow) rows.
+# A lookup side is broadcast only when it was measured and has at most this many bytes, 16 per row and column included,
+# and rows, beyond which building its hash table takes a driver too long.
+BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 500_000
 # Copies of the lookup side, and so tasks per key of the other side, when it is too large to broadcast.
 SALTS = 32
@@ -14,9 +19,34 @@ SALTS = 32
 WINDOW_ROWS = 1_000_000
 
 
+_pinned: list[DataFrame] = []
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Keep a small per-tenant table so that every operator which needs it shares one pass over the ledger."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _pinned.append(kept)
+    return kept
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Let go of everything pinned inside the block; results that are still needed must be written there."""
+    before = len(_pinned)
+    try:
+        yield
+    finally:
+        for df in _pinned[before:]:
+            df.unpersist()
+        del _pinned[before:]
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted: the text of every value and 16 bytes for each."""
+    wide = [F.col(c) if "<" not in kind else F.to_json(F.struct(c)) for c, kind in df.dtypes]
+    size = sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) for c in wide), F.lit(16 * len(df.columns)))
+    rows, total = df.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return rows, total or 0
 
 
 def lookup_join(
@@ -30,15 +60,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join `left` to `right`, which holds at most one row per key.
 
-    The lookup side is pinned and counted, unless the caller knows its size as `right_rows`. Up to `broadcast_rows` it is broadcast, so `left` does not move. Beyond
-    that both sides are shuffled on the key plus a salt taken from `spread_by`: the rows of one hot key then go to
+    The lookup side is pinned and measured, unless the caller knows that it has more than `broadcast_rows` as `right_rows`.
+    Up to BROADCAST_BYTES and `broadcast_rows` it is broadcast, so `left` does not move. Beyond that both sides are shuffled on the key plus a salt taken from `spread_by`: the rows of one hot key then go to
     SALTS tasks, and because the salt is part of the partitioning no later aggregate reuses a per-key layout.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if right_rows is None:
-        right = pinned(right)
-        right_rows = right.count()
-    if right_rows <= limit:
+    right_bytes = 0
+    if right_rows is None or right_rows <= limit:
+        right = pinned(right) if right_rows is None else right
+        right_rows, right_bytes = measured(right)
+    if right_rows <= limit and right_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     spread = spread_by or [c for c in left.columns if c not in on] or on
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

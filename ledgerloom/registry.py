@@ -286,6 +286,16 @@ def anomaly_report(spark, sf_dir):
     )
 
 
+@query
+def anomalies_in_season(spark, sf_dir):
+    """The ledger moved into the years of the calendar, so that tenants' last days fall into a season."""
+    moved = wide_amounts(spark, sf_dir).withColumn("date", F.col("date") + F.make_ym_interval(F.lit(24)))
+    found = anomalies.detect(staged(moved, "moved", sf_dir), calendar.seasonal_calendar(spark))
+    return found.filter(~F.col("anomaly_type").isin("revenue_anomaly_ml", "large_transaction")).select(
+        "tenant", "anomaly_type", "severity", "entity", F.array_join("context_notes", "|").alias("notes")
+    )
+
+
 @query
 def top_anomalies(spark, sf_dir):
     ranked = anomalies.top_anomalies(found_anomalies(spark, sf_dir))

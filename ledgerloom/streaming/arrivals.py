@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.plans.joins import lookup_join
+from ledgerloom.plans.joins import lookup_join, releasing
 from ledgerloom.sources.delimited import ROW_IN_SPLIT, parse_rows, usable
 from ledgerloom.sources.tables import write_results
 
@@ -14,7 +14,7 @@ from ledgerloom.sources.tables import write_results
 def csv_arrivals(spark: SparkSession, folder: str, columns: list[str], sep: str = ",") -> DataFrame:
     """Raw text rows of the files that appear in a folder, with their file and split."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.readStream.schema(schema).option("header", True).option("sep", sep).csv(folder)
+    rows = spark.readStream.schema(schema).options(header=True, sep=sep, escape='"', multiLine=True, enforceSchema=False).csv(folder)
     return rows.withColumns(
         {"source": F.col("_metadata.file_path"), "_split": F.col("_metadata.file_block_start")}
     )
@@ -46,9 +46,10 @@ def on_arrival(
         buckets = [row[0] for row in new.select("tenant_bucket").distinct().collect()]
         ledger = spark.read.option("basePath", store).parquet(store).filter(F.col("tenant_bucket").isin(buckets))
         touched = new.select("tenant").distinct()
-        analyse(
-            lookup_join(ledger, touched, ["tenant"], spread_by=["row_id"]).drop("batch", "tenant_bucket"), batch_id
-        )
+        with releasing():
+            analyse(
+                lookup_join(ledger, touched, ["tenant"], spread_by=["row_id"]).drop("batch", "tenant_bucket"), batch_id
+            )
 
     return (
         arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
