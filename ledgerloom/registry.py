@@ -641,10 +641,21 @@ def messy_rows(spark, sf_dir) -> DataFrame:
     )
 
 
+_files: dict[tuple, str] = {}
+
+
+def made_once(spark, sf_dir: str, label: str, write: Callable[[str], None]) -> str:
+    """Folder of input files made from `sf_dir`, written once per application so that queries time the reading alone."""
+    key = (spark.sparkContext.applicationId, label, sf_dir)
+    if key not in _files:
+        path = new_folder(spark, label)
+        write(path)
+        _files[key] = path
+    return _files[key]
+
+
 def messy_csv(spark, sf_dir) -> str:
-    path = new_folder(spark, "csv")
-    messy_rows(spark, sf_dir).write.option("header", True).csv(path)
-    return path
+    return made_once(spark, sf_dir, "csv", lambda path: messy_rows(spark, sf_dir).write.option("header", True).csv(path))
 
 
 @query
@@ -725,8 +736,7 @@ def voucher_files(spark, sf_dir) -> str:
     mirror = F.array(F.struct(F.col("customer").alias("LEDGERNAME"), F.col("total").alias("AMOUNT")))
     number = F.col("voucher_id").cast("long")
     bare = number % 13 == 0
-    path = new_folder(spark, "xml")
-    (
+    made = (
         vouchers.select(
             "tenant", F.when(number % 11 == 0, "Purchase").when(number % 2 == 0, "Sales").otherwise(" Tax Invoice")
             .alias("_VCHTYPE"),
@@ -737,9 +747,9 @@ def voucher_files(spark, sf_dir) -> str:
             F.when(~bare & (number % 2 == 0), F.concat(mirror, "lines")).alias("ALLLEDGERENTRIES.LIST"),
             F.when(~bare & (number % 2 != 0), F.concat(mirror, "lines")).alias("LEDGERENTRIES.LIST"),
         )
-        .write.partitionBy("tenant").format("xml").option("rowTag", "VOUCHER").option("rootTag", "ENVELOPE").save(path)
+        .write.partitionBy("tenant").format("xml").option("rowTag", "VOUCHER").option("rootTag", "ENVELOPE")
     )
-    return path
+    return made_once(spark, sf_dir, "xml", made.save)
 
 
 @query
