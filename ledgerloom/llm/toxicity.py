@@ -245,5 +245,7 @@ def score_toxicity(
         T.StructField("evidence", T.ArrayType(T.StructType([
             T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))),
     ])
-    return vectors.mapInArrow(run, schema)
+    # Vectors are small and fill few files, but each is searched for: they are dealt to all tasks evenly.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.repartition(parts).mapInArrow(run, schema)
 
