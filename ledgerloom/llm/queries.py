@@ -64,7 +64,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), step("k", 1000), below, step("doc", 1))
     files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
     scanned = scan_licenses(files, keep=["doc_id"], speaks=F.col("own_line") == 0)
-    return scanned.select("doc_id", "path", "own_license", "similarity", "own_line", "license", "license_from")
+    return scanned.select("doc_id", "path", "own_license", F.round("similarity", 6).alias("similarity"), "own_line", "license", "license_from")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

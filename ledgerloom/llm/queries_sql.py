@@ -1,5 +1,15 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from ledgerloom.llm.licenses import TEMPLATES
+
+
+def words(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+LICENCE_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+
 ORACLES = {
     "op3_cover_tree_search": """
 WITH v AS (
@@ -58,5 +68,50 @@ WITH words AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op7_licenses": rf"""
+WITH templates(name, text) AS (VALUES {LICENCE_VALUES}),
+files AS (
+    SELECT doc_id, coalesce(source, 'unknown') || '/k' || CAST(floor(doc_id / 1000) AS BIGINT)
+           || CASE WHEN doc_id % 2 = 1 THEN '/h' || CAST(floor(doc_id / 100) AS BIGINT) ELSE '' END AS dir, '/doc' || doc_id AS leaf, text
+    FROM documents
+), total AS (SELECT count(*) AS n FROM files),
+template_words AS (
+    SELECT name, word, 1 + ln(count(*)) AS tf FROM (SELECT name, unnest({words('text')}) AS word FROM templates) GROUP BY ALL
+), met AS (
+    SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({words("coalesce(text, '')")})) AS word FROM files)
+    SEMI JOIN template_words USING (word) GROUP BY word
+), idf AS (
+    SELECT word, coalesce(df, 0) AS df, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+    FROM (SELECT DISTINCT word FROM template_words) LEFT JOIN met USING (word), total
+), template_vectors AS (
+    SELECT name, word, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY name)) AS x FROM template_words JOIN idf USING (word)
+), lines AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, w
+    FROM (SELECT doc_id, k, {words('line')} AS w FROM (
+        SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k
+        FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l FROM files)))
+    WHERE len(w) > 0
+), line_words AS (
+    SELECT doc_id, no, word, df, (1 + ln(tf)) * coalesce(idf, ln(n + 1) + 1) AS x
+    FROM (SELECT doc_id, no, word, count(*) AS tf FROM (SELECT doc_id, no, unnest(w) AS word FROM lines) GROUP BY ALL)
+    LEFT JOIN idf USING (word), total
+), marked AS (
+    SELECT doc_id, no, sqrt(sum(x * x)) AS norm FROM line_words, total GROUP BY ALL HAVING bool_or(coalesce(df * 8 <= n, false))
+), cosines AS (
+    SELECT doc_id, no, name, round(sum(l.x * t.x) / any_value(norm), 9) AS cosine
+    FROM marked JOIN line_words l USING (doc_id, no) JOIN template_vectors t USING (word) GROUP BY ALL
+), own AS (
+    SELECT doc_id, no, name, cosine FROM cosines WHERE cosine >= 0.6
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name, no) = 1
+), given AS (
+    SELECT dir AS above, arg_min(name, dir || leaf) AS given FROM files JOIN own USING (doc_id) WHERE no = 0 GROUP BY dir
+), nearest AS (
+    SELECT dir, arg_max(given, length(above)) AS given, max_by(above, length(above)) AS above
+    FROM (SELECT DISTINCT dir FROM files) JOIN given ON dir = above OR starts_with(dir, above || '/') GROUP BY dir
+)
+SELECT doc_id, f.dir || leaf AS path, o.name AS own_license, coalesce(round(cosine, 6), 0.0) AS similarity, CAST(no AS INTEGER) AS own_line,
+       coalesce(o.name, given) AS license, CASE WHEN o.name IS NOT NULL THEN 'own' ELSE above END AS license_from
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest USING (dir)
 """,
 }
