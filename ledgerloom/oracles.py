@@ -640,6 +640,11 @@ ORACLES["csv_mixed_headers"] = """
 SELECT 'C' || o_custkey AS customer, o_orderpriority AS product, count(*) AS n_rows,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, min(date_trunc('day', o_orderdate)) AS first_date
 FROM orders GROUP BY ALL"""
+ORACLES["csv_column_override"] = """
+SELECT 'C' || o_custkey AS customer, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) * 2) AS DOUBLE) AS net,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) * 2) AS DOUBLE) AS computed FROM orders GROUP BY ALL"""
+ORACLES["registered_tables"] = """
+SELECT n_name, count(*) AS clients FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"""
 ORACLES["csv_bad_cells"] = """
 SELECT 'shop' AS tenant, count(*) AS rows_read, count(*) FILTER (o_orderkey % 7 = 0) AS failed_dates, 0 AS zero_amounts,
        count(*) FILTER (o_orderkey % 5 = 0) AS bad_amounts, count(*) FILTER (o_orderkey % 11 = 0) AS malformed_rows,

@@ -697,6 +697,32 @@ def csv_mixed_headers(spark, sf_dir):
     ))
 
 
+@query
+def csv_column_override(spark, sf_dir):
+    """A caller's column map wins over the header patterns, for plain columns and for an expression over columns."""
+    path = new_folder(spark, "csv-override")
+    money = lambda factor: (F.col("o_totalprice").cast("decimal(18,2)") * factor).cast("string")
+    columns = ["Date", "Gross", "Net", "Tax", "Who"]
+    read_table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"), money(3).alias("Gross"), money(2).alias("Net"), money(1).alias("Tax"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("Who"),
+    ).write.option("header", True).csv(path)
+    read = lambda given: delimited.read_ledger_csv(spark, path, columns, F.lit("shop"), given)[0]
+    plain_map, formula = read({"amount": "Net", "customer": "Who"}), read({"expression": "Gross - Tax", "customer": "Who"})
+    sums = lambda ledger, name: ledger.groupBy("customer").agg(F.sum("amount").alias(name))
+    return plain(sums(plain_map, "net").join(sums(formula, "computed"), "customer"))
+
+
+@query
+def registered_tables(spark, sf_dir):
+    """Stored tables read by name and joined as views."""
+    path = new_folder(spark, "tables")
+    for name in ("nation", "customer"):
+        read_table(spark, sf_dir, name).write.parquet(f"{path}/{name}")
+    tables.register_tables(spark, path, ["nation", "customer"])
+    return spark.sql("SELECT n_name, count(*) AS clients FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+
+
 @query
 def csv_bad_cells(spark, sf_dir):
     """Amounts too large to hold, words for dates and rows with a missing cell are counted and stop nothing."""
