@@ -1,6 +1,8 @@
 """Text as column expressions, plus the one Arrow function for Unicode names."""
 
 import pandas as pd
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,6 +20,13 @@ def name_or_default(raw: Column, default: str) -> Column:
     return F.when((text == "") | (F.lower(text) == "nan"), F.lit(default)).otherwise(text)
 
 
+def fill(template: str, **values: Column | str | int) -> Column:
+    """A text with the names in braces replaced by columns or plain values; null where one of them is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    pieces = [F.lit(part) if i % 2 == 0 else values[part] for i, part in enumerate(parts) if part]
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in pieces])
+
+
 def first_filled(*candidates: Column, default: str) -> Column:
     """The first candidate that is not blank, trimmed."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates], F.lit(default))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_texts as T
 from ledgerloom.fixed_values import (
     CHART_DAYS,
     DEAD_STOCK_DAYS,
@@ -13,7 +14,7 @@ from ledgerloom.fixed_values import (
 )
 from ledgerloom.functions.amounts import format_inr, rupees
 from ledgerloom.functions.dates import whole_days
-from ledgerloom.functions.text import fixed
+from ledgerloom.functions.text import fill, fixed
 from ledgerloom.ledger import require, sales
 from ledgerloom.operators.periods import is_current, is_previous, period_bounds, tenant_stats, with_periods
 from ledgerloom.plans.joins import lookup_join, top_per_group
@@ -198,40 +199,23 @@ def insights(revenue_table: DataFrame, dead: DataFrame, top: DataFrame) -> DataF
     )
     pct = F.col("change_pct").cast("double")
 
-    def insight(condition: Column, kind: str, title, text: Column, priority: int) -> Column:
+    def insight(condition: Column, kind: str, texts: tuple[str, str], priority: int, **values: Column) -> Column:
+        title, text = (fill(t, **values) for t in texts)
         return F.when(
             condition,
             F.struct(
                 F.lit(kind).alias("type"),
-                (F.lit(title) if isinstance(title, str) else title).alias("title"),
+                title.alias("title"),
                 text.alias("insight"),
                 F.lit(priority).alias("priority"),
             ),
         )
 
     rules = F.array(
-        insight(
-            pct >= INSIGHT_PCT, "celebration", "Strong Revenue Growth",
-            F.format_string("Revenue grew +%s%% vs last period. Your business is gaining momentum!", fixed(pct)), 1,
-        ),
-        insight(
-            pct <= -INSIGHT_PCT, "warning", "Revenue Decline Alert",
-            F.format_string(
-                "Revenue dropped %s%% vs last period. Review pricing or top-product stock levels.", fixed(F.abs(pct))
-            ), 1,
-        ),
-        insight(
-            F.col("n_dead") > 0, "action", F.format_string("%d Slow-Moving Products", "n_dead"),
-            F.lit("These items haven't sold in 14+ days. Consider discounts, bundles, or promotions to free up stock."),
-            2,
-        ),
-        insight(
-            F.col("best").isNotNull(), "opportunity", F.concat(F.lit("Top Seller: "), "best"),
-            F.concat(
-                F.lit("Your best product earns "), rupees(F.col("best_rev")),
-                F.lit(". Ensure stock is always available to maximise sales."),
-            ), 3,
-        ),
+        insight(pct >= INSIGHT_PCT, "celebration", T.GROWTH, 1, pct=fixed(pct)),
+        insight(pct <= -INSIGHT_PCT, "warning", T.DECLINE, 1, pct=fixed(F.abs(pct))),
+        insight(F.col("n_dead") > 0, "action", T.SLOW_PRODUCTS, 2, n=F.col("n_dead")),
+        insight(F.col("best").isNotNull(), "opportunity", T.TOP_SELLER, 3, product=F.col("best"), revenue=rupees(F.col("best_rev"))),
     )
     return facts.select("tenant", F.explode(F.array_compact(rules)).alias("i")).select("tenant", "i.*")
 

@@ -15,23 +15,23 @@ def test_periods(clean_sales):
 
 def test_revenue(clean_sales):
     row = metrics.revenue(clean_sales).first()
-    assert (row["current_revenue"], row["previous_revenue"]) == (479000, 819000)
-    assert float(row["change_pct"]) == -41.51 and row["trend"] == "down"
+    assert (row["current_revenue"], row["previous_revenue"]) == (411900, 709800)
+    assert float(row["change_pct"]) == -41.97 and row["trend"] == "down"
     assert row["period_label"] == "This month vs last month"
 
 
 def test_top_products(clean_sales):
     rows = metrics.top_products(clean_sales).orderBy("rank").collect()
     assert [(r["product"], int(r["revenue"]), int(r["previous_revenue"]), float(r["change_pct"])) for r in rows] == [
-        ("Maggi Noodles", 160600, 163800, -1.95), ("Surf Excel", 108600, 111800, -2.86),
-        ("Amul Butter", 84600, 267800, -68.41), ("Tata Salt", 68600, 215800, -68.21),
-        ("Parle-G", 56600, 59800, -5.35),
+        ("Jute Rope", 137460, 141960, -3.17), ("Candle Box", 93260, 97760, -4.60),
+        ("Floor Wax", 72860, 230360, -68.37), ("Tin Pail", 59260, 186160, -68.17),
+        ("Lamp Oil", 49060, 53560, -8.40),
     ]
 
 
 def test_dead_stock_and_split(clean_sales):
     dead = metrics.dead_stock(clean_sales).collect()
-    assert {(r["product"], r["days_since_sale"]) for r in dead} == {("Tata Salt", 21), ("Amul Butter", 21)}
+    assert {(r["product"], r["days_since_sale"]) for r in dead} == {("Tin Pail", 21), ("Floor Wax", 21)}
     split = metrics.customer_split(clean_sales).first()
     assert (split["new_customers"], split["repeat_customers"]) == (0, 5)
 
@@ -67,7 +67,7 @@ def test_anomalies_of_clean_sales(spark, clean_sales):
     assert "revenue_anomaly_zscore" not in kinds
     assert kinds["revenue_drop"] == "MEDIUM"  # HIGH before the calendar
     drop = found.filter("anomaly_type = 'revenue_drop'").first()
-    assert "down 42% from ₹819,000 last month" in drop["explanation"] and drop["context_notes"]
+    assert "down 42% from ₹709,800 last month" in drop["explanation"] and drop["context_notes"]
 
 
 def test_outside_the_calendar_a_drop_stays_high(spark, clean_sales):

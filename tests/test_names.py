@@ -55,17 +55,17 @@ def test_long_chains_become_one_group(spark):
 
 
 def test_canonical_name_is_the_longest(make_ledger):
-    rows = [("a", "2026-01-01", "c", p, 1) for p in ["Surf Excel"] * 3 + ["Surf Excell"] * 2 + ["Tata Salt"] * 2 + ["Tata Sallt"]]
+    rows = [("a", "2026-01-01", "c", p, 1) for p in ["Soda Ashes"] * 3 + ["Soda Ashesl"] * 2 + ["Rock Salt"] * 2 + ["Rock Sallt"]]
     merged, mapping = names.merge_product_names(make_ledger(rows))
     assert {r["product"]: r["count"] for r in merged.groupBy("product").count().collect()} == {
-        "Surf Excell": 5, "Tata Salt": 2, "Tata Sallt": 1,
+        "Soda Ashesl": 5, "Rock Salt": 2, "Rock Sallt": 1,
     }
-    assert mapping.filter("name = 'Surf Excel'").first()["canonical"] == "Surf Excell"
+    assert mapping.filter("name = 'Soda Ashes'").first()["canonical"] == "Soda Ashesl"
 
 
 def test_numbered_names_are_joined_without_their_pairs(spark):
-    rows = [("t", f"Samsung Galaxy Phone Model {i:05d}", 2) for i in range(3000)] + [("t", "Tata Salt Packet Family", 2), ("t", "Tata Salt Packet Famili", 3)]
+    rows = [("t", f"Samsung Galaxy Phone Model {i:05d}", 2) for i in range(3000)] + [("t", "Rock Salt Packet Family", 2), ("t", "Rock Salt Packet Famili", 3)]
     counts = spark.createDataFrame(rows, "tenant string, name string, n long")
     assert names.sure_links(counts).count() < 20 * len(rows)
     found = names.canonical_names(counts)
-    assert {r["canonical"][:12]: r["count"] for r in found.groupBy("canonical").count().collect()} == {"Samsung Gala": 3000, "Tata Salt Pa": 2}
+    assert {r["canonical"][:12]: r["count"] for r in found.groupBy("canonical").count().collect()} == {"Samsung Gala": 3000, "Rock Salt Pa": 2}

@@ -42,7 +42,7 @@ def test_whole_analysis(spark, clean_sales, tmp_path):
     tables = analyze(clean_sales, "2026-06-01")
     row = tables["bundle"].first()
     numbers = json.loads(row["metrics_json"])
-    assert numbers["current_revenue"] == 479000 and numbers["top_products"][0]["name"] == "Maggi Noodles"
+    assert numbers["current_revenue"] == 411900 and numbers["top_products"][0]["name"] == "Jute Rope"
     assert json.loads(row["customers_json"])["total"] == 5
     assert json.loads(row["anomalies_json"])["total"] == tables["anomalies"].count()
     assert "Financial Year End" not in json.loads(row["season_json"])["events"]
