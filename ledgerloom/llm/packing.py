@@ -33,7 +33,7 @@ POPULATION = 4
 EPOCHS = 3
 GENERATIONS = 8
 # Words whose ids a task remembers, about 200 bytes each.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 
 
 # Marks that end a word; behind a letter the tokenizer always starts a new token with them.
