@@ -54,7 +54,7 @@ def revenue(ledger: DataFrame, reference_date=None, stats: DataFrame | None = No
     require(ledger, "tenant", "date", "amount")
     bounds = _bounds(ledger, stats, reference_date)
     sums = (
-        with_periods(sales(ledger).select("tenant", "date", "amount"), bounds)
+        with_periods(sales(ledger).select("tenant", "date", "amount"), bounds, within=True)
         .filter(is_current() | is_previous())
         .groupBy("tenant")
         .agg(money_sum(is_current()).alias("current_revenue"), money_sum(is_previous()).alias("previous_revenue"))
@@ -82,7 +82,7 @@ def top_products(
     """The best sellers of the current period against the previous one; ties go by product name."""
     bounds = _bounds(ledger, stats, reference_date)
     columns = ["tenant", "date", "product", "amount", "quantity"]
-    rows = with_periods(sales(ledger).select(*columns), bounds, ["product", "date"])
+    rows = with_periods(sales(ledger).select(*columns), bounds, ["product", "date"], within=True)
     per_product = (
         rows.filter(is_current() | is_previous())
         .groupBy("tenant", "product")

@@ -62,6 +62,14 @@ def is_previous() -> Column:
     return F.col("date").between(F.col("prev_start"), F.col("prev_end"))
 
 
-def with_periods(rows: DataFrame, bounds: DataFrame, spread_by: list[str] | None = None) -> DataFrame:
-    """Rows together with the period bounds of their tenant."""
+def with_periods(
+    rows: DataFrame, bounds: DataFrame, spread_by: list[str] | None = None, within: bool = False
+) -> DataFrame:
+    """Rows together with the period bounds of their tenant.
+
+    With `within`, rows before the earliest period of any tenant are left out by a literal bound, which reaches the scan.
+    """
+    if within:
+        earliest = bounds.agg(F.min("prev_start")).first()[0]
+        rows = rows if earliest is None else rows.filter(F.col("date") >= as_moment(earliest))
     return lookup_join(rows, bounds, ["tenant"], spread_by=spread_by)

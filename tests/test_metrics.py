@@ -113,3 +113,12 @@ def test_long_span_meets_each_event_once(spark):
     )
     hits = calendar.overlapping_events(spans, calendar.seasonal_calendar(spark))
     assert hits.count() == 46 and hits.select("event_no").distinct().count() == 46
+
+
+def test_period_bounds_reach_the_scan(spark, clean_sales, tmp_path):
+    clean_sales.write.parquet(str(tmp_path / "ledger"))
+    stored = spark.read.parquet(str(tmp_path / "ledger"))
+    for table in (metrics.revenue(stored), metrics.top_products(stored)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(date,2026-01-14" in plan
+    assert metrics.revenue(stored).first()["current_revenue"] == 411900
