@@ -146,10 +146,11 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
 def _shared_keys(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys met in two documents or more, with the smallest id; summed map-side, so a hot key is no hot task.
 
-    Written, so that joins with it shuffle both sides and AQE can split the rows of a hot key among tasks.
+    Written and merged, so that joins with it shuffle both sides at every size and AQE can split the rows of a hot key among
+    tasks.
     """
     shared = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("_last")).filter("first < _last").drop("_last")
-    return staged(shared, "substring-shared")
+    return staged(shared, "substring-shared").hint("merge")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -162,14 +163,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spots = survey.filter("not copy").select(
         "id", "th", F.explode(F.arrays_zip("at", "low", "left", "right")).alias("a")
     ).select("id", "th", "a.at", "a.low", "a.left", "a.right")
-    spots = staged(spots.join(_shared_keys(spots, "low").select("low"), "low", "left_semi"), "substring-spots")
+    spots = staged(spots.join(_shared_keys(spots, "low").select("low").hint("merge"), "low", "left_semi"), "substring-spots")
     # The windows of the middle length on either side of an anchor; a full window around it holds one of the two.
     side = F.explode(F.array(
         F.struct((F.col("at") - (middle - base)).alias("at"), F.col("left").alias("key")),
         F.struct(F.col("at"), F.col("right").alias("key")),
     )).alias("s")
     sides = spots.select("id", "th", side).select("id", "th", "s.at", "s.key").filter("key <> 0").distinct()
-    sides = sides.join(_shared_keys(sides, "key").select("key"), "key", "left_semi")
+    sides = sides.join(_shared_keys(sides, "key").select("key").hint("merge"), "key", "left_semi")
     asked = sides.groupBy("id", "th").agg(F.collect_set("at").alias("ask"))
     wanted = docs.join(asked, ["id", "th"])
 
