@@ -71,8 +71,7 @@ class Matcher:
         self.other = math.log(files + 1) + 1
         self.threshold = threshold
         self.vectors = [self.weights(words(templates[n].encode())) for n in self.names]
-        # A term that is rarer than in every eighth file, one of which each matching line must hold.
-        self.marks = {w for w, n in frequency.items() if n * 8 <= files} or set(frequency)
+        self.bounds: dict[frozenset[bytes], float] = {}
         self.seen: dict[bytes, tuple[str | None, float]] = {}
 
     def weights(self, line: list[bytes]) -> dict[bytes, float]:
@@ -83,6 +82,15 @@ class Matcher:
         size = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         return {w: x / size for w, x in raw.items()}
 
+    def bound(self, line: list[bytes]) -> float:
+        """No cosine of the line is higher: the longest part that any template vector has over the terms the line holds."""
+        held = frozenset(self.idf.keys() & line)
+        if held not in self.bounds:
+            if len(self.bounds) > 50_000:
+                self.bounds.clear()
+            self.bounds[held] = max((math.sqrt(sum(x * x for w, x in v.items() if w in held)) for v in self.vectors), default=0.0)
+        return self.bounds[held]
+
     def match(self, line: bytes) -> tuple[str | None, float]:
         """The best template of a line and its cosine, or none below the threshold."""
         if line in self.seen:
@@ -116,7 +124,8 @@ def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, thre
                 if not own:
                     continue
                 number += 1
-                hit = matcher.match(line) if not matcher.marks.isdisjoint(own) else (None, 0.0)
+                top = matcher.bound(own)
+                hit = matcher.match(line) if top > 0 and top >= threshold - 1e-6 else (None, 0.0)
                 whole = whole and hit[0] is not None
                 if hit[0] is not None and (-hit[1], hit[0]) < (-best[1], best[0] or "~"):
                     best, place = hit, number

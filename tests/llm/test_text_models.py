@@ -175,6 +175,24 @@ def test_licences_and_inheritance(spark, prose):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_licences_of_many_files_and_of_few(spark, prose):
+    mit = "Released under the MIT License"
+    rows = [(f"d{i}/x.py", prose(i, 20) + ("\n" + mit if i % 3 == 0 else "")) for i in range(60)] + [("e/LICENSE", mit), ("e/w.py", prose(99, 20))]
+    got = {r["path"]: (r["own_license"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[f"d{i}/x.py"] == (("MIT", "MIT") if i % 3 == 0 else (None, None)) for i in range(60)) and got["e/w.py"] == (None, "MIT")
+    few = licenses.scan_licenses(spark.createDataFrame(rows[-2:], "path string, text string")).collect()
+    assert {r["path"]: r["license"] for r in few} == {"e/LICENSE": "MIT", "e/w.py": "MIT"}
+
+
+def test_no_line_is_left_that_reaches_the_threshold():
+    rng = random.Random(4)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in licenses.words(t.encode())})
+    matcher = licenses.Matcher(licenses.TEMPLATES, {w: rng.randrange(1000) for w in vocabulary}, 1000, 0.0)
+    for _ in range(2000):
+        line = rng.choices([*vocabulary, b"plain", b"word"], k=rng.randrange(1, 12))
+        assert matcher.match(b" ".join(line))[1] <= matcher.bound(line) + 1e-8
+
+
 def test_licence_cosine_is_plain_tf_idf():
     frequency = {w: n for n, w in enumerate(sorted({w for t in licenses.TEMPLATES.values() for w in licenses.words(t.encode())}))}
     matcher = licenses.Matcher(licenses.TEMPLATES, frequency, 100, 0.5)
