@@ -84,7 +84,8 @@ def sliding(values: np.ndarray, width: int, pick, empty) -> np.ndarray:
     while span < width:
         step = min(span, width - span)
         moved = np.full_like(out, empty)
-        moved[: len(out) - step] = out[step:] if len(out) > step else moved[:0]
+        if len(out) > step:
+            moved[:-step] = out[step:]
         out, span = pick(out, moved), span + step
     return out
 

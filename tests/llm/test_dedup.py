@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import simhash, substring
-from ledgerloom.llm.common import components
+from ledgerloom.llm.common import SLICE_BYTES, components
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -50,6 +51,23 @@ def test_repeated_passages_against_all_windows(spark, prose):
     assert {r["doc_id"] for r in got.filter("kept_text IS NULL").collect()} == {60}
 
 
+@pytest.mark.parametrize("words", range(17))
+def test_slices_of_few_words(words):
+    text = " ".join(f"v{i}" for i in range(words)).encode()
+    assert len(substring.anchors(substring.Words([text, None]), substring.levels(50)[0], 50)) == 0
+
+
+def test_short_texts_alone_and_between_long_ones(spark, prose):
+    short = [(1, prose(1, 5))]
+    long = " ".join(f"u{i}" for i in range(700_000))
+    assert len(long) > SLICE_BYTES
+    between = [(1, long), (2, prose(2, 5)), (3, long)]
+    for rows in (short, between):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeated(docs, keep=["doc_id"]).collect()}
+        assert got == {i: (len(t.split()), len(t.split()) if i == 3 else 0) for i, t in rows}
+
+
 def test_other_windows_and_order_of_ids(spark, prose):
     rng = random.Random(3)
     pool = [prose(900 + i, 12, 40) for i in range(12)]
