@@ -193,9 +193,11 @@ def near_duplicates(
     for one row of each component: the first with that id.
 
     With `keep`, only those columns and doc_id come back, and no text is shuffled. Without, rows meet their result by
-    running number, so `docs` should be a table in files.
+    running number. Numbers depend on how a scan is split, so the rows are written with them once and read from there.
     """
     base = docs.drop("fingerprint", "component_id", "representative").withColumn("_row", F.monotonically_increasing_id())
+    if keep is None:
+        base = staged(base, "simhash-rows")
     few = ["doc_id"] if keep is None else list(dict.fromkeys([*keep, "doc_id"]))
     printed = staged(add_fingerprints(base, shingle, [*few, "_row"]), "simhash-prints")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_row"))

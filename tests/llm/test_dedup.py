@@ -139,6 +139,28 @@ def test_fingerprints_and_groups_against_all_pairs(spark, prose):
     assert len(chosen) == len(set(roots)) and all(r["doc_id"] == r["component_id"] for r in chosen)
 
 
+def test_rows_keep_their_result_when_scans_are_split_anew(spark, prose, tmp_path, monkeypatch):
+    texts = [prose(i // 2, 40) for i in range(64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(16, "doc_id").write.parquet(str(tmp_path / "docs"))
+    size, links = "spark.sql.files.maxPartitionBytes", simhash.near_links
+    before = spark.conf.get(size)
+
+    def later(*args):
+        spark.conf.set(size, "16k")
+        return links(*args)
+
+    monkeypatch.setattr(simhash, "near_links", later)
+    try:
+        spark.conf.set(size, "128m")
+        got = simhash.near_duplicates(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == list(enumerate(texts))
+    assert all(int(r["fingerprint"], 16) == plain_fingerprint(r["text"]) for r in got)
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 and r["representative"] == (r["doc_id"] % 2 == 0) for r in got)
+
+
 def test_links_of_crowded_keys_and_other_schemes(spark):
     rng = random.Random(4)
     centre = rng.getrandbits(64)
