@@ -7,12 +7,14 @@ FANOUT children. A pair of nodes is pruned when the largest product it can hold,
 block meets its most promising data blocks, which sets these scores; then all pairs of blocks that they do not prune are
 searched, the most promising first. Only sums of blocks (centre, radius, size) are matched all against all.
 
-Vectors become floor(scale x) first; those that are null, of another length than the first, or hold null or non-finite
-components, take no part. Defined results: ties go to the smaller id; a row never finds itself, but finds other rows of
+Vectors become floor(scale x) first; those that are null, of another length than the commonest (the longer of two as
+common; a warning gives their number), or hold null or non-finite components, take no part. Defined results: ties go to the smaller id; a row never finds itself, but finds other rows of
 the same id; a query with fewer than k candidates gets them all; an empty table gives no rows; a null id takes no part.
 Equal vectors of any number are spread over blocks. Only the result's columns come back.
 """
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -197,11 +199,13 @@ def top_products(
     clean = to_integers(vectors.filter(F.col(id_).isNotNull()), vec, scale)
     query = F.coalesce(is_query, F.lit(False)).alias("query")
     rows = staged(clean.select(F.col(id_).cast("long").alias("id"), F.monotonically_increasing_id().alias("number"), F.col(vec).alias("vec"), query), "search-rows")
-    one = rows.orderBy("id", "number").limit(1).collect()
+    common = rows.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     empty = "query_id long, rank int, vec_id long, score long"
-    if not one:
+    if common is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    width = len(one[0]["vec"])
+    width, others = common["width"], rows.count() - common["count"]
+    if others:
+        warnings.warn(f"{others} vectors of another length than {width} take no part", stacklevel=2)
     rows = rows.filter(F.size("vec") == width)
     n, largest = rows.agg(F.count("*"), F.max(F.array_max(F.transform("vec", lambda v: F.abs(v))))).first()
     kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if largest <= np.iinfo(t).max)

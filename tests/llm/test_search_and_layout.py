@@ -49,6 +49,16 @@ def test_top_products_of_nothing_and_of_large_components(spark):
     assert {tuple(r) for r in got.collect()} == plain_top(whole, [0, 20, 40], 5)
 
 
+def test_one_shortened_vector_does_not_set_the_length(spark):
+    x = np.random.default_rng(3).integers(-5, 6, (40, 6)).astype(float)
+    rows = [(0, [1.0] * 5)] + [(i + 1, x[i].tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.warns(UserWarning, match="^1 vectors of another length than 6 "):
+        got = cover_search.top_products(df, F.col("vec_id") % 20 == 0, k=5)
+    whole = [(i + 1, (x[i] * 64).astype(np.int64)) for i in range(40)]
+    assert {tuple(r) for r in got.collect()} == plain_top(whole, [19, 39], 5)
+
+
 def test_radii_bound_all_products():
     rng = np.random.default_rng(3)
     points = rng.normal(size=(2000, 6))
