@@ -8,7 +8,9 @@ from ledgerloom.llm.cover_search import top_products
 from ledgerloom.llm.decontaminate import find_contamination
 from ledgerloom.llm.language_id import detect_languages, train_language_model
 from ledgerloom.llm.licenses import scan_licenses
+from ledgerloom.llm.orchard import cluster_vectors
 from ledgerloom.llm.packing import pack_documents
+from ledgerloom.llm.quality_rules import quality
 from ledgerloom.llm.sharding import shard_rows
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.substring import remove_repeated
@@ -88,6 +90,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = cluster_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_stop_words", "n_lines", "n_cut_lines", "n_bullet_lines", F.array_join("failed", ",").alias("failed"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -99,4 +115,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
 }

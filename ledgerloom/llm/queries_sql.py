@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from ledgerloom.llm import orchard
+from ledgerloom.llm import quality_rules as rules
 from ledgerloom.llm.licenses import TEMPLATES
 
 
@@ -8,6 +10,75 @@ def words(text: str) -> str:
     return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
+def clustering() -> str:
+    """All distances of every round, plainly; a round's centroids follow from its assignment."""
+    rounds = ""
+    for n in range(orchard.ROUNDS + 1):
+        rounds += f"""
+, a{n} AS MATERIALIZED (
+    SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT row, c, sum((p.x - m.x) * (p.x - m.x)) AS d FROM parts p JOIN c{n} m USING (i) GROUP BY row, c
+    ) GROUP BY row
+)"""
+        if n < orchard.ROUNDS:
+            rounds += f"""
+, m{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN parts USING (row) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+    SELECT c, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN m{n} USING (c, i)
+)"""
+    last = orchard.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, [CAST(floor({orchard.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x FROM embeddings
+    WHERE len(embedding) = {orchard.WIDTH} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), parts AS MATERIALIZED (
+    SELECT row, unnest(x) AS x, unnest(range({orchard.WIDTH})) AS i FROM kept
+), firsts AS (
+    SELECT row_number() OVER (ORDER BY sha256('{orchard.SEED}:' || vec_id) NULLS LAST, x) - 1 AS c, row FROM kept
+    QUALIFY c < {orchard.K}
+), c0 AS MATERIALIZED (SELECT c, i, x FROM firsts JOIN parts USING (row)){rounds}
+, digest AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN a{last} USING (row) JOIN digest USING (c)
+"""
+
+
+def quality() -> str:
+    def broken(rule: rules.Rule) -> str:
+        base = "1" if rule.base == "one" else rule.base
+        sides = [f"100 * {rule.measure} < {rule.least} * {base}"] if rule.least is not None else []
+        sides += [f"100 * {rule.measure} > {rule.most} * {base}"] if rule.most is not None else []
+        return "(" + " OR ".join(sides) + ")"
+
+    named = ", ".join(f"CASE WHEN {broken(r)} THEN '{r.name}' END" for r in (*rules.BASE_RULES, *rules.RULES))
+    stop_words = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+    w = rules.WINDOW
+    return rf"""
+WITH words AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT doc_id, k, md5(array_to_string(w[k:k + {w - 1}], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {w - 2})) AS k FROM words WHERE len(w) >= {w})
+), twice AS (
+    SELECT doc_id, h FROM windows GROUP BY ALL HAVING count(*) > 1
+), repeated AS (
+    SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + {w})) AS place FROM windows JOIN twice USING (doc_id, h)) GROUP BY doc_id
+), measured AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+           len(list_filter(w, lambda x: lower(x) IN ({stop_words}))) AS n_stop_words, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+           len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
+           len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines, coalesce(n, 0) AS n_repeat_words
+    FROM words LEFT JOIN repeated USING (doc_id)
+), judged AS (SELECT *, concat_ws(',', {named}) AS failed FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {" OR ".join(broken(r) for r in rules.BASE_RULES)} AS base_failed,
+       failed = '' AS kept, n_stop_words, n_lines, n_cut_lines, n_bullet_lines, failed
+FROM judged
+"""
+
+
 LICENCE_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
 
 ORACLES = {
@@ -114,4 +185,6 @@ SELECT doc_id, f.dir || leaf AS path, o.name AS own_license, coalesce(round(cosi
        coalesce(o.name, given) AS license, CASE WHEN o.name IS NOT NULL THEN 'own' ELSE above END AS license_from
 FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest USING (dir)
 """,
+    "op11_centroid_clustering": clustering(),
+    "op12_quality_rules": quality(),
 }
