@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.collocations import top_collocations
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.cover_search import top_products
 from ledgerloom.llm.decontaminate import find_contamination
@@ -104,6 +105,10 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -117,4 +122,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_quality_rules": op12_quality_rules,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }

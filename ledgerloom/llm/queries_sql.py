@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from ledgerloom.llm import orchard
+from ledgerloom.llm import collocations, orchard
 from ledgerloom.llm import quality_rules as rules
 from ledgerloom.llm.licenses import TEMPLATES
 
@@ -187,4 +187,39 @@ FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN nearest USING (dir)
 """,
     "op11_centroid_clustering": clustering(),
     "op12_quality_rules": quality(),
+    "op13_phrase_collocations": rf"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece, lang, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS text FROM documents
+    )
+), grams AS (
+    SELECT lang, size, w[k:k + size - 1] AS w FROM (
+        SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS k FROM pieces, range(1, {collocations.MAX_WORDS + 1}) sizes(size) WHERE len(w) >= size
+    )
+), counts AS MATERIALIZED (
+    SELECT lang, size, w, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING f >= {collocations.LEAST_COUNT}
+), totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang
+), candidates AS (SELECT * FROM counts WHERE size > 1
+), cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+    SELECT c.lang, c.w, c.f AS a, l.f AS l, r.f AS r, n, (1000 * c.f * n) // (l.f * r.f) AS score FROM cuts c
+    JOIN counts l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN counts r ON r.lang = c.lang AND r.w = c.w[k + 1:] JOIN totals t ON t.lang = c.lang
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.w ORDER BY score, k) = 1
+), inner_parts AS (
+    SELECT DISTINCT lang, w[k:k + part - 1] AS w, f FROM (
+        SELECT lang, w, f, part, unnest(range(1, size - part + 2)) AS k
+        FROM (SELECT *, unnest(range(2, size)) AS part FROM candidates WHERE size > 2)
+    )
+), gone AS (
+    SELECT DISTINCT s.lang, s.w FROM scored s JOIN inner_parts i ON s.lang = i.lang AND s.w = i.w WHERE 100 * i.f >= {collocations.INSIDE_SHARE} * a
+), ranked AS (
+    SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score,
+           row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank
+    FROM scored ANTI JOIN gone USING (lang, w)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= {collocations.LIMIT}
+""",
 }
