@@ -680,10 +680,25 @@ SELECT tenant, customer, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amou
        count(DISTINCT voucher_id) AS n_vouchers FROM lines WHERE amount <> 0 GROUP BY tenant, customer""")
 add("xml_ingest_stats", f"{LEDGER}, {VOUCHERS}", """
 SELECT v.tenant, count(*) AS vouchers_found, count(*) FILTER (voucher_id % 11 = 0) AS skipped_non_sales,
-       any_value(sales_extracted) AS sales_extracted, any_value(skipped_zero) AS skipped_zero
+       any_value(sales_extracted) AS sales_extracted, any_value(skipped_zero) AS skipped_zero,
+       0 AS unreadable, 0 AS bad_amounts, 0 AS bad_dates
 FROM vouchers v JOIN (SELECT tenant, count(DISTINCT voucher_id) FILTER (amount <> 0) AS sales_extracted,
     count(*) FILTER (amount = 0) AS skipped_zero FROM lines GROUP BY tenant) l ON l.tenant = v.tenant
 GROUP BY v.tenant""")
+NESTED = """WITH rows AS (
+  SELECT l_orderkey % 3 AS kind, l_linenumber AS number, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, date_trunc('day', l_shipdate) AS date,
+         l_linenumber <> 7 AS readable, l_orderkey % 29 <> 0 AS dated FROM lineitem)"""
+ORACLES["xml_nested"] = f"""{NESTED}
+SELECT product, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount, min(date) AS first_date, max(date) AS last_date FROM (
+  SELECT 'Salt & Rock' AS product, price AS amount, date, readable, dated FROM rows WHERE kind = 0
+  UNION ALL SELECT 'Soap & Oil', price, date, readable, dated FROM rows WHERE kind = 1
+  UNION ALL SELECT 'Tax & <Duty>', number, date, readable, dated FROM rows WHERE kind = 1
+  UNION ALL SELECT 'General Sales', 5, date, readable, dated FROM rows WHERE kind = 2
+) WHERE readable AND dated AND amount <> 0 GROUP BY product"""
+ORACLES["xml_nested_stats"] = f"""{NESTED}
+SELECT count(*) AS vouchers_found, 0 AS skipped_non_sales, count(*) FILTER (readable AND dated) AS sales_extracted, 0 AS skipped_zero,
+       count(*) FILTER (NOT readable) AS unreadable, 0 AS bad_amounts,
+       sum(CASE WHEN dated OR NOT readable THEN 0 WHEN kind = 1 THEN 2 ELSE 1 END) AS bad_dates FROM rows"""
 ORACLES["file_types"] = """
 WITH files AS (SELECT page_id, html AS text, url AS name FROM pages
   UNION ALL SELECT -1 - doc_id, text, 'upload.' || lang FROM documents),

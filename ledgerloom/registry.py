@@ -15,7 +15,7 @@ from ledgerloom.operators import reports, segments
 from ledgerloom.operators.outliers import outlier_weeks
 from ledgerloom.plans.analyze import analyze
 from ledgerloom.plans.joins import top_per_group
-from ledgerloom.plans.shared import already_staged, new_folder, staged
+from ledgerloom.plans.shared import already_staged, new_folder, over_all_cores, staged
 from ledgerloom.sources import catalog, delimited, tables, voucher_xml
 from ledgerloom.streaming import arrivals
 from ledgerloom.streaming import messages as inbox
@@ -793,8 +793,43 @@ def xml_ingest_stats(spark, sf_dir):
     folder_tenant = F.regexp_extract("source", "tenant=([^/]+)", 1)
     _, stats = voucher_xml.read_ledger_xml(spark, voucher_files(spark, sf_dir), V.AS_OF, folder_tenant)
     return stats.withColumn("tenant", folder_tenant).groupBy("tenant").agg(
-        *[F.sum(c).alias(c) for c in ("vouchers_found", "skipped_non_sales", "sales_extracted", "skipped_zero")]
-    )
+        *[F.sum(c).alias(c) for c in (
+            "vouchers_found", "skipped_non_sales", "sales_extracted", "skipped_zero", "unreadable", "bad_amounts", "bad_dates")]
+    )
+
+
+def nested_vouchers(spark, sf_dir) -> str:
+    """Order lines as vouchers without numbers whose lines hold further lines, ahead of their own amounts; some are broken."""
+    key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    line = lambda tag, name, amount, more="": F.concat(
+        F.lit(f"<{tag}.LIST><LEDGERNAME TYPE='x'>"), F.lit(name), F.lit("</LEDGERNAME>"), F.lit(more) if isinstance(more, str) else more,
+        F.lit("<AMOUNT>-"), amount, F.lit(f"</AMOUNT></{tag}.LIST>"))
+    inner = F.concat(F.lit("<BATCH>"), line("ALLLEDGERENTRIES", "<![CDATA[Tax & <Duty>]]>", number.cast("string")), F.lit("</BATCH>"))
+    nested = line("ALLLEDGERENTRIES", "Soap &amp; Oil&#4;", price, inner)
+    older = F.concat(F.lit("<UDF:PART><X>"), line("LEDGERENTRIES", "Salt & Rock", price), F.lit("</X></UDF:PART>"))
+    body = F.when(key % 3 == 0, older).when(key % 3 == 1, F.concat(nested, older)).otherwise(F.lit("<AMOUNT>-5</AMOUNT>"))
+    date = F.when(key % 29 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyyMMdd"))
+    voucher = F.concat(F.lit("<VOUCHER VCHTYPE='Sales'><DATE>"), date, F.lit("</DATE>"), F.when(number == 7, F.lit("<BROKEN>")).otherwise(F.lit("")),
+                       body, F.lit("</VOUCHER>"))
+    lines = over_all_cores(read_table(spark, sf_dir, "lineitem")).select(voucher.alias("value"))
+    return made_once(spark, sf_dir, "xml-nested", lines.write.text)
+
+
+@query
+def xml_nested(spark, sf_dir):
+    """Lines inside lines have amounts of their own; names hold entities, sections and forbidden characters."""
+    ledger, _ = voucher_xml.read_ledger_xml(spark, nested_vouchers(spark, sf_dir), V.AS_OF, F.lit("shop"))
+    return plain(ledger.groupBy("product").agg(
+        F.count("*").alias("n_rows"), F.sum("amount").alias("amount"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    ))
+
+
+@query
+def xml_nested_stats(spark, sf_dir):
+    _, stats = voucher_xml.read_ledger_xml(spark, nested_vouchers(spark, sf_dir), V.AS_OF, F.lit("shop"))
+    return stats.agg(*[F.sum(c).alias(c) for c in (
+        "vouchers_found", "skipped_non_sales", "sales_extracted", "skipped_zero", "unreadable", "bad_amounts", "bad_dates")])
 
 
 @query
