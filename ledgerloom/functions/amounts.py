@@ -1,6 +1,7 @@
 """Money as column expressions: parsing, arithmetic on parsed amounts, display formats."""
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,13 +44,17 @@ def parse_voucher_amount(raw: Column, sale_sign: int = -1) -> Column:
     return (_number(cleaned) * F.lit(sale_sign)).try_cast(WIDE)
 
 
-def amount_expression(expression: str, columns: list[str]) -> Column:
+def amount_expression(expression: str, columns: list[str] | Callable[[str], Column]) -> Column:
     """Arithmetic over parsed cells, evaluated strictly from left to right without operator precedence.
 
     Names that are neither a column nor a number count as 0, and so does a division by 0. A result too large to hold is null.
+    Where columns differ from row to row, a function gives the cell of a name, null where a row has no such column.
     """
 
     def operand(token: str) -> Column:
+        if callable(columns):
+            cell = columns(token)
+            return F.when(cell.isNotNull(), parse_amount(cell)).otherwise(_number(F.lit(token)))
         if token in columns:
             return parse_amount(F.col(f"`{token}`"))
         return _number(F.lit(token))
