@@ -18,6 +18,7 @@ score go to the higher count, then to the phrase that is first in UTF-8 byte ord
 gives no rows. Only the columns of the text and the language are read.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SLICE_BYTES, slices, texts_of
 from ledgerloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, measured, top_per_group
-from ledgerloom.plans.shared import over_all_cores, runs_in_tasks, staged
+from ledgerloom.plans.shared import new_folder, over_all_cores, runs_in_tasks, staged
 
 runs_in_tasks(__name__)
 
@@ -141,10 +142,23 @@ def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return over_all_cores(docs.select(*columns)).mapInArrow(run, schema)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A staged table, marked for broadcast if it was measured and found small."""
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """A staged table, marked for broadcast if it was measured and found small, and its number of rows."""
     rows, size = measured(df)
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+    return (F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df), rows
+
+
+def small(df: DataFrame) -> DataFrame:
+    return sized(df)[0]
+
+
+def bucketed(df: DataFrame, label: str, key: str) -> str:
+    """Name of a table of `df` in the shared folder, laid out by `key`: joins on the key leave its rows where they are."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).sortBy(key).option("path", new_folder(spark, label)).saveAsTable(name)
+    return name
 
 
 def frequent_words(cut: DataFrame, least: int) -> DataFrame:
@@ -155,8 +169,8 @@ def frequent_words(cut: DataFrame, least: int) -> DataFrame:
     return staged(often.join(total, "lang").withColumn("id", F.monotonically_increasing_id()), "phrase-words")
 
 
-def only_frequent(cut: DataFrame, words: DataFrame) -> DataFrame:
-    """(chunk, lang, codes, ids, counts): chunks in numbers of frequent words only; -1 between what is left."""
+def only_frequent(cut: DataFrame, words: DataFrame) -> str:
+    """Table (chunk, lang, codes, ids, counts): chunks in numbers of frequent words only, the most frequent first; -1 between what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +178,8 @@ def only_frequent(cut: DataFrame, words: DataFrame) -> DataFrame:
                 known = batch.column("known")[i].values
                 place, ids, counts = (known.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 old = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
+                order = np.lexsort((ids, -counts))
+                place, ids, counts = place[order], ids[order], counts[order]
                 new = np.full(max(int(old.max()), int(place.max())) + 1, -1, np.int32)
                 new[place] = np.arange(len(place))
                 codes = new[old]
@@ -177,7 +193,7 @@ def only_frequent(cut: DataFrame, words: DataFrame) -> DataFrame:
     found = own.join(small(words.select("lang", "word", "f", "id")), ["lang", "word"])
     known = found.groupBy("chunk").agg(F.collect_list(F.struct("place", "id", "f")).alias("known"))
     joined = cut.select("chunk", "lang", "codes").join(known, "chunk")
-    return staged(joined.mapInArrow(run, "chunk long, lang string, codes binary, ids array<long>, counts array<long>"), "phrase-chunks")
+    return bucketed(joined.mapInArrow(run, "chunk long, lang string, codes binary, ids array<long>, counts array<long>"), "phrase_chunks", "chunk")
 
 
 def keys(columns: list[np.ndarray], span: int) -> np.ndarray:
@@ -269,25 +285,27 @@ def wave_cuts(words: DataFrame, active: DataFrame | None, share: float) -> DataF
 
 def count_phrases(frequent: DataFrame, cuts: DataFrame, least: int, max_words: int) -> list[DataFrame]:
     """Tables of the frequent phrases of 2, 3 ... words that start or end in a word of the wave, with their counts."""
-    work = frequent.join(small(cuts.select("lang", "cut")), "lang")
+    work = frequent.join(cuts.select("lang", "cut"), "lang")
     levels, known = [], None
     for m in range(2, max_words + 1):
         columns = word_columns(m)
         met = work if known is None else work.join(known, "chunk")
         often = local_phrases(met, m).groupBy(*columns).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-        level = staged(often, "phrase-level")
+        level, found = sized(staged(often, "phrase-level"))
         levels.append(level)
-        if level.isEmpty():
+        if not found or m == max_words:
             break
-        back = local_phrases(met, m).join(small(level.select(*columns)), columns)
-        known = staged(back.groupBy("chunk").agg(F.collect_list(F.array(*columns)).alias("known")), "phrase-known")
+        # Every row looks its phrase up, so the join makes as many rows as the chunks have.
+        back = local_phrases(met, m).join(level.select(*columns, F.lit(True).alias("often")), columns, "left")
+        listed = F.collect_list(F.when(F.col("often"), F.array(*columns)))
+        known = staged(back.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0), "phrase-known")
     return levels
 
 
 def scored(words: DataFrame, cuts: DataFrame, levels: list[DataFrame], inside_share: int) -> DataFrame:
     """(lang, words, a, l, r, n, score) of the phrases that start and end in words of the wave and survive."""
     counts = lambda *c: F.array(*c).cast("array<long>")
-    rare = words.join(small(cuts), "lang").filter(F.col("f") <= F.col("cut"))
+    rare = words.join(cuts, "lang").filter(F.col("f") <= F.col("cut"))
     part = words.join(rare.select("id", F.lit(True).alias("rare")), "id", "left")
     mine = F.when(F.col("rare"), counts())
     # A row per phrase; `before` has the counts of its proper prefixes and `after` those of its proper suffixes, where it starts, or ends, rare.
@@ -327,33 +345,42 @@ def spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
     return phrases.join(named.select("words", text.alias("phrase")), "words").drop("words")
 
 
+def grown(
+    frequent: DataFrame, words: DataFrame, least: int, limit: int, max_words: int, inside_share: int, share: float, growth: int
+) -> DataFrame | None:
+    """Surviving phrases of all languages, for each from the wave that settled it; None without frequent words."""
+    active, settled = None, None
+    while True:
+        cuts = staged(wave_cuts(words, active, share), "phrase-waves")
+        small_cuts, languages = sized(cuts)
+        if not languages:
+            return settled
+        levels = count_phrases(frequent, small_cuts, least, max_words)
+        survivors = staged(scored(words, small_cuts, levels, inside_share), "phrase-scored")
+        beyond = survivors.join(small_cuts, "lang").filter(F.col("bound").isNull() | (F.col("score") > F.col("bound")))
+        enough = staged(cuts.join(beyond.groupBy("lang").count(), "lang", "left").select(
+            "lang", (F.col("bound").isNull() | (F.coalesce("count", F.lit(0)) >= limit)).alias("enough")
+        ), "phrase-settled")
+        done = survivors.join(small(enough.filter("enough").select("lang")), "lang")
+        settled = done if settled is None else settled.unionByName(done)
+        active, share = enough.filter("NOT enough").select("lang"), share * growth
+
+
 def top_collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST_COUNT, limit: int = LIMIT, max_words: int = MAX_WORDS,
     inside_share: int = INSIDE_SHARE, first_share: float = FIRST_SHARE, growth: int = GROWTH,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `limit` phrases."""
+    spark = docs.sparkSession
     cut = staged(chunks(docs, text, lang), "phrase-texts")
     words = frequent_words(cut, least)
     frequent = only_frequent(cut, words)
-    active, settled, share = None, None, first_share
-    while True:
-        cuts = staged(wave_cuts(words, active, share), "phrase-cuts")
-        if cuts.isEmpty():
-            break
-        levels = count_phrases(frequent, cuts, least, max_words)
-        survivors = staged(scored(words, cuts, levels, inside_share), "phrase-scored")
-        beyond = survivors.join(small(cuts), "lang").filter(F.col("bound").isNull() | (F.col("score") > F.col("bound")))
-        enough = cuts.join(beyond.groupBy("lang").count(), "lang", "left").select(
-            "lang", (F.col("bound").isNull() | (F.coalesce("count", F.lit(0)) >= limit)).alias("enough")
-        )
-        enough = staged(enough, "phrase-settled")
-        done = survivors.join(small(enough.filter("enough").select("lang")), "lang")
-        settled = done if settled is None else settled.unionByName(done)
-        active, share = enough.filter("NOT enough").select("lang"), share * growth
-        if active.isEmpty():
-            break
+    try:
+        settled = grown(spark.table(frequent), words, least, limit, max_words, inside_share, first_share, growth)
+    finally:
+        spark.sql(f"DROP TABLE {frequent}")
     if settled is None:
-        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     order = [F.desc("score"), F.desc("a")]
     last = top_per_group(settled.select("lang", "score", "a"), ["lang"], order, limit).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
     chosen = settled.join(last, "lang").filter(F.struct("score", "a") >= F.col("last")).drop("last")
