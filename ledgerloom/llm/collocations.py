@@ -41,7 +41,7 @@ INSIDE_SHARE = 100
 UNKNOWN = "und"
 # The first wave covers this share of the occurrences of frequent words, each later one GROWTH times as much.
 FIRST_SHARE = 1 / 16
-GROWTH = 16
+GROWTH = 2
 # Text that a task holds in open chunks, all languages together.
 CHUNK_BYTES = 8_000_000
 
