@@ -775,3 +775,14 @@ add("arriving_files", revenue_ctes().replace(
     "JOIN part ON l_partkey = p_partkey), ledger AS (SELECT * FROM whole WHERE quantity <> 1 AND amount <> 0)", 1),
     f"""SELECT tenant, CAST(cur AS DOUBLE) AS current_revenue, CAST(prev AS DOUBLE) AS previous_revenue, change_pct,
   {trend('change_pct')} AS trend FROM rev2""")
+TYPED_ONLY = revenue_ctes().replace("ledger AS (", "whole AS (", 1).replace(
+    "JOIN part ON l_partkey = p_partkey)", f"""JOIN part ON l_partkey = p_partkey),
+ledger AS (SELECT * REPLACE (CASE WHEN voucher_id % 7 = 0 THEN 'General' ELSE product END AS product) FROM whole WHERE quantity <> 1 AND amount <> 0)""", 1)
+add("arriving_rows", f"{TYPED_ONLY}, {TOP}", f"""
+SELECT r.tenant, CAST(cur AS DOUBLE) AS current_revenue, CAST(prev AS DOUBLE) AS previous_revenue, r.change_pct,
+       {trend('r.change_pct')} AS trend, product AS best, CAST(revenue AS DOUBLE) AS best_revenue
+FROM rev2 r LEFT JOIN top t ON t.tenant = r.tenant AND rank = 1""")
+add("arriving_vouchers", f"{LEDGER}, {VOUCHERS}, sold AS (SELECT * FROM lines WHERE amount <> 0), {bounds('sold')}, " + revenue_ctes().split(
+    f"{bounds()}, ", 1)[1].replace("ledger l", "sold l"), f"""
+SELECT tenant, CAST(cur AS DOUBLE) AS current_revenue, CAST(prev AS DOUBLE) AS previous_revenue, change_pct,
+       {trend('change_pct')} AS trend, n_days, period_end FROM rev2""")

@@ -17,7 +17,7 @@ from ledgerloom.plans.analyze import analyze
 from ledgerloom.plans.joins import top_per_group
 from ledgerloom.plans.shared import already_staged, new_folder, over_all_cores, staged
 from ledgerloom.sources import catalog, delimited, tables, voucher_xml
-from ledgerloom.streaming import arrivals
+from ledgerloom.streaming import arrivals, incremental
 from ledgerloom.streaming import messages as inbox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1018,3 +1018,39 @@ def arriving_files(spark, sf_dir):
     latest = spark.read.option("basePath", f"{base}/revenue").parquet(f"{base}/revenue")
     newest = top_per_group(latest, ["tenant"], [F.desc("batch")], 1).drop("rank", "batch")
     return plain(newest.select("tenant", "current_revenue", "previous_revenue", "change_pct", "trend"))
+
+
+def newest_results(spark, arriving: incremental.Arrivals, label: str) -> dict[str, DataFrame]:
+    """Feed files to an incremental analysis batch by batch; what the last batch that touched a tenant found for it."""
+    base = new_folder(spark, label)
+
+    def publish(results: dict[str, DataFrame], batch: int) -> None:
+        for name, table in results.items():
+            table.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+
+    incremental.follow(arriving, f"{base}/store", publish, f"{base}/state").awaitTermination()
+    newest = {}
+    for name in ("revenue", "top_products"):
+        found = spark.read.option("basePath", f"{base}/{name}").parquet(f"{base}/{name}")
+        last = found.groupBy("tenant").agg(F.max("batch").alias("batch"))
+        newest[name] = found.join(last, ["tenant", "batch"]).drop("batch")
+    return newest
+
+
+@query
+def arriving_rows(spark, sf_dir):
+    """Delimited files come in batches; revenue and best products from recent totals equal those of the whole ledger."""
+    arriving = incremental.csv_arrivals(spark, messy_csv(spark, sf_dir), delimited.named_cell("Branch"), maxFilesPerTrigger=3)
+    newest = newest_results(spark, arriving, "arriving-rows")
+    best = newest["top_products"].filter("rank = 1").select("tenant", F.col("product").alias("best"), F.col("revenue").alias("best_revenue"))
+    columns = ["tenant", "current_revenue", "previous_revenue", "change_pct", "trend"]
+    return plain(newest["revenue"].select(*columns).join(best, "tenant", "left"))
+
+
+@query
+def arriving_vouchers(spark, sf_dir):
+    """Accounting XML comes in batches of files."""
+    folder_tenant = F.regexp_extract("source", "tenant=([^/]+)", 1)
+    arriving = incremental.xml_arrivals(spark, voucher_files(spark, sf_dir), V.AS_OF, folder_tenant, maxFilesPerTrigger=60)
+    newest = newest_results(spark, arriving, "arriving-vouchers")["revenue"]
+    return plain(newest.select("tenant", "current_revenue", "previous_revenue", "change_pct", "trend", "n_days", "period_end"))
