@@ -16,6 +16,7 @@ from ledgerloom.functions.amounts import format_inr, rupees
 from ledgerloom.functions.dates import whole_days
 from ledgerloom.functions.text import fill, fixed
 from ledgerloom.ledger import require, sales
+from ledgerloom.operators.grains import Grains
 from ledgerloom.operators.periods import is_current, is_previous, period_bounds, tenant_stats, with_periods
 from ledgerloom.plans.joins import lookup_join, top_per_group
 
@@ -104,11 +105,15 @@ def top_products(
 
 
 def last_sales(ledger: DataFrame, entity: str, reference_date=None, stats: DataFrame | None = None) -> DataFrame:
-    """Per tenant and product (or customer): last sale, days since, total and number of sales."""
+    """Per tenant and product (or customer): last sale, days since, total and number of sales.
+
+    Also over sums of sales, which say in `n_sales` how many they hold.
+    """
+    n_sales = F.sum("n_sales") if "n_sales" in ledger.columns else F.count("*")
     per_entity = (
         sales(ledger).filter(F.col(entity).isNotNull())
         .groupBy("tenant", entity)
-        .agg(F.max("date").alias("last_sale_date"), money_sum().alias("total"), F.count("*").alias("n_sales"))
+        .agg(F.max("date").alias("last_sale_date"), money_sum().alias("total"), n_sales.alias("n_sales"))
     )
     refs = _bounds(ledger, stats, reference_date).select("tenant", "ref")
     return (
@@ -175,16 +180,19 @@ def chart_revenue(ledger: DataFrame, n: int = CHART_DAYS) -> DataFrame:
     return top_per_group(per_date, ["tenant"], [F.desc("date")], n).drop("rank")
 
 
-def kpis(ledger: DataFrame, reference_date=None, stats: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The KPI tables together; they share one pass for the tenant statistics."""
+def kpis(ledger: DataFrame, reference_date=None, stats: DataFrame | None = None, grains: Grains | None = None) -> dict[str, DataFrame]:
+    """The KPI tables together; they share one pass for the tenant statistics, and with `grains` do not read the ledger at all."""
     require(ledger, "tenant", "date", "amount", "customer", "product")
-    stats = tenant_stats(ledger) if stats is None else stats
+    if grains is None:
+        stats = tenant_stats(ledger) if stats is None else stats
+        grains = Grains(ledger, ledger, ledger, stats)
+    stats = grains.stats
     return {
-        "revenue": revenue(ledger, reference_date, stats),
-        "top_products": top_products(ledger, TOP_PRODUCTS, reference_date, stats),
-        "dead_stock": dead_stock(ledger, reference_date, stats),
-        "customer_split": customer_split(ledger, reference_date, stats),
-        "daily_revenue": daily_revenue(ledger),
+        "revenue": revenue(grains.by_date, reference_date, stats),
+        "top_products": top_products(grains.by_product, TOP_PRODUCTS, reference_date, stats),
+        "dead_stock": dead_stock(grains.by_product, reference_date, stats),
+        "customer_split": customer_split(grains.by_customer, reference_date, stats),
+        "daily_revenue": daily_revenue(grains.by_date),
     }
 
 

@@ -9,24 +9,26 @@ from ledgerloom.ledger import require
 from ledgerloom.plans.joins import lookup_join, pinned
 
 
+def stats_columns() -> list[Column]:
+    value = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
+    sale = F.col("amount") > 0
+    return [
+        F.count("*").alias("n_rows"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.avg(value).alias("mean_amount"),
+        F.stddev_samp(value).alias("std_amount"),
+        F.count_if(sale).alias("n_sales"),
+        F.avg(F.when(sale, value)).alias("mean_sale"),
+        F.min(F.when(sale, F.col("date"))).alias("first_sale"),
+        F.max(F.when(sale, F.col("date"))).alias("last_sale"),
+    ]
+
+
 def tenant_stats(ledger: DataFrame) -> DataFrame:
     """Everything the operators need to know about a tenant as a whole, in one pass with map-side aggregation."""
     require(ledger, "tenant", "date", "amount")
-    value = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
-    sale = F.col("amount") > 0
-    return pinned(
-        ledger.groupBy("tenant").agg(
-            F.count("*").alias("n_rows"),
-            F.min("date").alias("first_date"),
-            F.max("date").alias("last_date"),
-            F.avg(value).alias("mean_amount"),
-            F.stddev_samp(value).alias("std_amount"),
-            F.count_if(sale).alias("n_sales"),
-            F.avg(F.when(sale, value)).alias("mean_sale"),
-            F.min(F.when(sale, F.col("date"))).alias("first_sale"),
-            F.max(F.when(sale, F.col("date"))).alias("last_sale"),
-        )
-    )
+    return pinned(ledger.groupBy("tenant").agg(*stats_columns()))
 
 
 def period_length(first: Column, last: Column) -> Column:

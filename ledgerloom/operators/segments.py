@@ -15,11 +15,15 @@ QUINTILES = 5
 
 
 def rfm_base(ledger: DataFrame, reference_date=None, stats: DataFrame | None = None) -> DataFrame:
-    """Per customer: days since the last row, number of rows (returns included), sum of positive amounts."""
+    """Per customer: days since the last row, number of rows (returns included), sum of positive amounts.
+
+    Also over sums of rows, which say in `n_rows` how many they hold.
+    """
     stats = tenant_stats(ledger) if stats is None else stats
+    frequency = F.sum(F.when(F.col("date").isNotNull(), F.col("n_rows"))) if "n_rows" in ledger.columns else F.count("date")
     per_customer = ledger.filter(F.col("customer").isNotNull()).groupBy("tenant", "customer").agg(
         F.max("date").alias("last_purchase"),
-        F.count("date").alias("frequency"),
+        frequency.alias("frequency"),
         F.coalesce(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), F.lit(0)).cast("double").alias("monetary"),
     )
     ref = F.col("last_date") if reference_date is None else as_moment(reference_date)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.anomalies import detect, severity_counts, top_anomalies
 from ledgerloom.operators.calendar import seasonal_calendar, seasonal_context
 from ledgerloom.operators.cleaning import flag_summary, normalise
+from ledgerloom.operators.grains import ledger_grains
 from ledgerloom.operators.health import analysable, health
 from ledgerloom.operators.metrics import insights, kpis, summary
-from ledgerloom.operators.periods import period_bounds, tenant_stats
+from ledgerloom.operators.periods import period_bounds
 from ledgerloom.operators.product_names import merge_product_names
 from ledgerloom.operators.segments import customer_segments, segment_counts, top_customers
 from ledgerloom.plans.shared import staged
@@ -25,21 +26,19 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """Every result table: cleaning, health, KPIs, anomalies, segments, season and a nested bundle.
 
-    Product names are merged before text clean-up. The cleaned ledger is written once to the shared folder, because a
-    dozen result tables read it; each of them is then a plan of its own over that table.
+    Product names are merged before text clean-up. The cleaned ledger is written once to the shared folder and read four
+    times: for the health report, the flag counts, the sums that everything else derives from, and the large transactions.
     """
     calendar = seasonal_calendar(ledger.sparkSession) if calendar is None else calendar
     merged, mapping = merge_product_names(ledger) if merge_names else (ledger, None)
     cleaned = staged(normalise(merged, as_of), "cleaned")
-    report = health(cleaned)
-    passed = cleaned if report.filter(~F.col("can_analyze")).isEmpty() else staged(
-        analysable(cleaned, report), "analysable"
-    )
-    stats = tenant_stats(passed)
-    tables = kpis(passed, reference_date, stats)
-    bounds = period_bounds(stats, reference_date)
-    anomalies = staged(detect(passed, calendar, reference_date, stats, industry), "anomalies")
-    segments = staged(customer_segments(passed, reference_date, stats), "segments")
+    report = staged(health(cleaned), "health")
+    passed = cleaned if report.filter(~F.col("can_analyze")).isEmpty() else analysable(cleaned, report)
+    grains = ledger_grains(passed)
+    tables = kpis(passed, reference_date, grains=grains)
+    bounds = period_bounds(grains.stats, reference_date)
+    anomalies = staged(detect(passed, calendar, reference_date, industry=industry, grains=grains), "anomalies")
+    segments = staged(customer_segments(grains.by_customer, reference_date, grains.stats), "segments")
     tables = {k: staged(t, k) for k, t in tables.items()}
     season = seasonal_context(bounds.withColumnRenamed("ref", "end"), calendar, industry)
     result = tables | {
