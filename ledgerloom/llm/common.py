@@ -49,6 +49,24 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(
+    docs: DataFrame, inputs: list[str], work: Callable[[DataFrame, list[str] | None], DataFrame], keep: list[str] | None = None
+) -> DataFrame:
+    """Apply `work` to `docs` while all columns but `inputs` bear names that no operator uses; `keep` names columns as the caller does.
+
+    Afterwards they have their own names again, except those that bear the name of a result, which replaces them.
+    """
+    away = {c: f"_caller_{i}_" for i, c in enumerate(docs.columns) if c not in inputs}
+    done = work(docs.select(*[F.col(f"`{c}`").alias(away.get(c, c)) for c in docs.columns]), None if keep is None else [away.get(c, c) for c in keep])
+    results = [c for c in done.columns if c not in inputs and c not in away.values()]
+    replaced = {c.lower() for c in results}
+    back = [
+        F.col(away.get(c, c)).alias(c) for c in docs.columns
+        if away.get(c, c) in done.columns and (keep is None or c in keep) and (c in inputs or c.lower() not in replaced)
+    ]
+    return done.select(*back, *results)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice together have about `limit` bytes."""
     if not batch.num_rows:

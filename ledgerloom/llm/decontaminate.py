@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import WORD_BYTES, annotate, texts_of
+from ledgerloom.llm.common import WORD_BYTES, annotate, shielded, texts_of
 from ledgerloom.plans.shared import runs_in_tasks
 
 runs_in_tasks(__name__)
@@ -84,6 +84,10 @@ def find_contamination(
     automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
     """Add n_words, n_hit, items (sorted ids of items found) and spans (character offsets [begin, end) of hits)."""
+    return shielded(docs, ["text"], lambda d, kept: _scanned(d, benchmark, window, kept, automaton_bytes), keep)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str] | None, automaton_bytes: int) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // automaton_bytes) + 1
@@ -115,7 +119,7 @@ def find_contamination(
                 n_hit.append(sum(b - a for a, b in ranges))
                 ids.append(sorted(found))
                 flat.append([x for r in ranges for x in r])
-                places = [m.span() for m in WORD_IN_TEXT.finditer(text.decode())] if ranges else []
+                places = [m.span() for m in WORD_IN_TEXT.finditer(text.decode("utf-8", "replace"))] if ranges else []
                 spans.append([{"begin": places[a][0], "end": places[b - 1][1]} for a, b in ranges])
             return [
                 pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import annotate, slices, texts_of
+from ledgerloom.llm.common import annotate, shielded, slices, texts_of
 from ledgerloom.plans.shared import runs_in_tasks
 
 runs_in_tasks(__name__)
@@ -167,6 +167,10 @@ def infer_mixtures(owner: np.ndarray, bucket: np.ndarray, texts: int, model: Lan
 
 def detect_languages(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred (the language of the largest share), score (that share) and mixture (all shares above 0)."""
+    return shielded(docs, ["text"], lambda d, own: _detected(d, model, own), keep)
+
+
+def _detected(docs: DataFrame, model: LanguageModel, keep: list[str] | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
 
     def infer(part: pa.RecordBatch) -> list[pa.Array]:

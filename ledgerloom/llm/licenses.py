@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import WORD_BYTES, annotate, slices, texts_of
+from ledgerloom.llm.common import WORD_BYTES, annotate, shielded, slices, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -152,7 +152,10 @@ def inherit(scanned: DataFrame, speaks: Column | None = None) -> DataFrame:
     Directories are made distinct before their ancestors are listed, so a directory with very many files costs no more than
     one with few until its files read the answer, in a join with one row per directory.
     """
-    base = scanned.drop("license", "license_from", "_dir")
+    return shielded(scanned, ["path", "own_license", "similarity", "own_line", "only_license"], lambda d, _: _inherited(d, speaks))
+
+
+def _inherited(base: DataFrame, speaks: Column | None) -> DataFrame:
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     rows = base.withColumn("_dir", F.when(F.col("path").contains("/"), folder).when(F.col("path").isNotNull(), ""))
     given = rows.filter(
@@ -175,6 +178,9 @@ def inherit(scanned: DataFrame, speaks: Column | None = None) -> DataFrame:
 
 
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep: list[str] | None = None, speaks: Column | None = None) -> DataFrame:
-    """Licence of every file (path, text) with where it comes from."""
-    kept = None if keep is None else list(dict.fromkeys([*keep, "path"]))
-    return inherit(staged(own_licenses(files, templates, threshold, kept), "licenses-own"), speaks)
+    """Licence of every file (path, text) with where it comes from. `speaks` may use the path and what was found in a file."""
+
+    def scan(files: DataFrame, kept: list[str] | None) -> DataFrame:
+        return inherit(staged(own_licenses(files, templates, threshold, kept), "licenses-own"), speaks)
+
+    return shielded(files, ["path", "text"], scan, None if keep is None else list(dict.fromkeys([*keep, "path"])))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import without
+from ledgerloom.llm.common import shielded
 from ledgerloom.plans.shared import over_all_cores, runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -34,7 +34,6 @@ ROUNDS = 3
 WIDTH = 64
 SCALE = 64
 SEED = 1
-RESULT = ("cluster", "distance", "cluster_inertia", "inertia", "centroid")
 
 
 def integer_vectors(batch: pa.RecordBatch, vec: str, width: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +155,15 @@ def cluster_vectors(
     id_: str = "vec_id", vec: str = "embedding", keep: list[str] | None = None,
 ) -> DataFrame:
     """Cluster, squared distance, inertia of the cluster and of all, and the centroid, for every vector that takes part."""
+    return shielded(vectors, [id_, vec], lambda d, own: _clustered(d, k, rounds, width, scale, seed, id_, vec, own), keep)
+
+
+def _clustered(
+    vectors: DataFrame, k: int, rounds: int, width: int, scale: int, seed: int, id_: str, vec: str, keep: list[str] | None
+) -> DataFrame:
     spark = vectors.sparkSession
     vectors = over_all_cores(vectors)
-    kept = [c for c in without(vectors, *RESULT).columns if keep is None or c in keep]
+    kept = [c for c in vectors.columns if keep is None or c in keep]
     first = first_centroids(vectors, k, seed, id_, vec, width, scale)
     result = T.StructType([
         T.StructField("cluster", T.IntegerType()), T.StructField("distance", T.LongType()), T.StructField("cluster_inertia", T.LongType()),

@@ -75,7 +75,7 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         split, others = [], []
         for raw in new:
-            word = raw.decode()
+            word = raw.decode("utf-8", "replace")
             core = word.rstrip(CLOSING_MARKS)
             if core.isalpha():
                 split.append((raw, core.lower() if core.isascii() else core, word[len(core) :]))

@@ -13,7 +13,7 @@ a lost task is run again.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import without
+from ledgerloom.llm.common import shielded
 from ledgerloom.plans.shared import staged
 
 SHARDS = 24
@@ -27,7 +27,10 @@ MAX_BUCKETS = 1_000_000
 
 def external_shuffle(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, text: str = "text") -> DataFrame:
     """All rows in uniformly random order, numbered from 0 as `position`; written once to the shared folder."""
-    docs = without(docs, "position")
+    return shielded(docs, [text], lambda d, _: _shuffled(d, seed, bucket_bytes, text))
+
+
+def _shuffled(docs: DataFrame, seed: int, bucket_bytes: int, text: str) -> DataFrame:
     size = docs.select(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(ROW_BYTES)).alias("n")).first()["n"] or 0
     buckets = min(int(size // bucket_bytes) + 1, MAX_BUCKETS)
     number = F.monotonically_increasing_id()
@@ -37,8 +40,11 @@ def external_shuffle(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCK
         .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_number"), F.lit(buckets)).cast("int"))
         .repartition(buckets, "_bucket")
         .groupBy("_bucket")
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        .agg(F.collect_list(row).alias("_listed"))
     )
+    # Sorted by number alone: rows may hold values without an order, such as maps.
+    order = F.array_sort(F.transform("_listed", lambda r, i: F.struct(r["_number"], i.alias("i"))))
+    scattered = scattered.select("_bucket", F.transform(order, lambda o: F.get("_listed", o["i"])).alias("_rows"))
     shuffled = staged(
         scattered.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_place", "_row")).select("_bucket", "_place", "_row.r"),
         "external-shuffle",
@@ -53,7 +59,10 @@ def external_shuffle(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCK
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Add law (`rows`), shard (from 0) and slot (the row's place in its shard, gapless from 0)."""
-    base = without(docs, "law", "shard", "slot")
+    return shielded(docs, ["text"], lambda d, _: _dealt(d, shards, seed, bucket_bytes))
+
+
+def _dealt(base: DataFrame, shards: int, seed: int, bucket_bytes: int) -> DataFrame:
     shuffled = external_shuffle(base, seed, bucket_bytes)
     rows = base.count()
     each, more = divmod(rows, shards)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import LOWER_BYTES, NO_ID, annotate, components, spanning_forest, texts_of
+from ledgerloom.llm.common import LOWER_BYTES, NO_ID, annotate, components, shielded, spanning_forest, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -195,7 +195,11 @@ def near_duplicates(
     With `keep`, only those columns and doc_id come back, and no text is shuffled. Without, rows meet their result by
     running number. Numbers depend on how a scan is split, so the rows are written with them once and read from there.
     """
-    base = docs.drop("fingerprint", "component_id", "representative").withColumn("_row", F.monotonically_increasing_id())
+    return shielded(docs, ["doc_id", "text"], lambda d, kept: _grouped(d, shingle, distance, kept), None if keep is None else list(dict.fromkeys([*keep, "doc_id"])))
+
+
+def _grouped(docs: DataFrame, shingle: int, distance: int, keep: list[str] | None) -> DataFrame:
+    base = docs.withColumn("_row", F.monotonically_increasing_id())
     if keep is None:
         base = staged(base, "simhash-rows")
     few = ["doc_id"] if keep is None else list(dict.fromkeys([*keep, "doc_id"]))

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.llm.common import NO_ID, slices, texts_of, without
+from ledgerloom.llm.common import NO_ID, shielded, slices, texts_of, without
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -212,6 +213,10 @@ def remove_repeated(
     The text crosses the network twice: once, only for documents that share a middle window, to the last level, and once
     to meet what is to be removed.
     """
+    return shielded(docs, ["doc_id", "text"], lambda d, kept: _without_spans(d, window, kept, result), keep)
+
+
+def _without_spans(docs: DataFrame, window: int, keep: list[str] | None, result: str) -> DataFrame:
     id_, th = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.xxhash64("text"), F.lit(0))
     spans = repeated_spans(docs.select(id_.alias("id"), th.alias("th"), "text").filter("text IS NOT NULL"), window)
     base = without(docs, "n_words", "n_removed", *([result] if result != "text" else []))
@@ -238,11 +243,12 @@ def remove_repeated(
                         left = [w for w, hit in zip(words, (np.cumsum(mark) > 0).tolist()) if not hit]
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
-                    out.append(None if text is None else b" ".join(left).decode())
+                    out.append(None if text is None else b" ".join(left).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())],
                     names=[*kept, "n_words", "n_removed", result],
                 )
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_words long", "n_removed long", f"`{result}` string"])
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(result, T.StringType())]
+    schema = T.StructType([docs.schema[c] for c in kept] + made)
     return rows.mapInArrow(cut, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import annotate, texts_of
+from ledgerloom.llm.common import annotate, shielded, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -23,7 +23,10 @@ BLOCK = 1024
 
 def add_lengths(docs: DataFrame, ranks: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """Add n_tokens under the byte-level vocabulary in the file `ranks`, whose words are split by `pattern`."""
+    return shielded(docs, ["text"], lambda d, own: _measured(d, ranks, pattern, own), keep)
 
+
+def _measured(docs: DataFrame, ranks: str, pattern: str, keep: list[str] | None) -> DataFrame:
     def encoder():
         import tiktoken
 
@@ -37,7 +40,7 @@ def add_lengths(docs: DataFrame, ranks: str, pattern: str, keep: list[str] | Non
         if not made:
             made.append(encoder())
         count = made[0].encode_ordinary
-        return [pa.array([len(count(t.decode())) if t else 0 for t in texts_of(part)], pa.int64())]
+        return [pa.array([len(count(t.decode("utf-8", "replace"))) if t else 0 for t in texts_of(part)], pa.int64())]
 
     return annotate(docs, run, [T.StructField("n_tokens", T.LongType())], keep)
 

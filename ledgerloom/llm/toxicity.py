@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import WORD_BYTES, annotate, slices, texts_of
+from ledgerloom.llm.common import WORD_BYTES, annotate, free_name, shielded, slices, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -196,11 +196,17 @@ def score_toxicity(
     `learn_from` is the condition on rows of `docs` whose labels may be learnt. Texts are read twice: the labelled ones for
     the vocabulary, all for their vectors; only vectors, a few numbers per document, are written and read again.
     """
+    mark = free_name(docs, "learnt")
+    marked = docs.withColumn(mark, F.coalesce(learn_from, F.lit(False)))
+    kept = None if keep is None else list(dict.fromkeys([*keep, "doc_id"]))
+    return shielded(marked, ["doc_id", "text", mark], lambda d, own: _scored(d, labels, mark, k, max_examples, own), kept).drop(mark)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, learn_from: str, k: int, max_examples: int, keep: list[str] | None) -> DataFrame:
     lean = docs.filter(learn_from).select("doc_id", "text")
     vocabulary, rate = learn_vocabulary(with_labels(lean, labels))
-    base = docs.drop("score", "evidence")
-    kept = None if keep is None else list(dict.fromkeys([*keep, "doc_id"]))
-    vectors = staged(add_vectors(base, vocabulary, kept), "toxicity-vectors")
+    kept = None if keep is None else [*keep, learn_from]
+    vectors = staged(add_vectors(docs, vocabulary, kept), "toxicity-vectors")
     rows = vectors.count()
     frequency = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("ids").alias("t")).groupBy("t").count().collect():
