@@ -2,7 +2,7 @@
 
 from ledgerloom.llm import collocations, orchard
 from ledgerloom.llm import quality_rules as rules
-from ledgerloom.llm.licenses import TEMPLATES
+from ledgerloom.llm.licenses import ALL_TEMPLATES, THRESHOLD
 
 
 def words(text: str) -> str:
@@ -79,7 +79,7 @@ FROM judged
 """
 
 
-LICENCE_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+LICENCE_VALUES = ", ".join(f"({number}, '{name}', '{text}')" for number, (name, text) in enumerate(sorted(ALL_TEMPLATES)))
 
 ORACLES = {
     "op3_cover_tree_search": """
@@ -141,39 +141,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_r
 FROM words LEFT JOIN kept USING (doc_id)
 """,
     "op7_licenses": rf"""
-WITH templates(name, text) AS (VALUES {LICENCE_VALUES}),
+WITH templates(number, name, text) AS (VALUES {LICENCE_VALUES}),
 files AS (
     SELECT doc_id, coalesce(source, 'unknown') || '/k' || CAST(floor(doc_id / 1000) AS BIGINT)
            || CASE WHEN doc_id % 2 = 1 THEN '/h' || CAST(floor(doc_id / 100) AS BIGINT) ELSE '' END AS dir, '/doc' || doc_id AS leaf, text
     FROM documents
 ), total AS (SELECT count(*) AS n FROM files),
 template_words AS (
-    SELECT name, word, 1 + ln(count(*)) AS tf FROM (SELECT name, unnest({words('text')}) AS word FROM templates) GROUP BY ALL
+    SELECT number, name, word, 1 + ln(count(*)) AS tf FROM (SELECT number, name, unnest({words('text')}) AS word FROM templates) GROUP BY ALL
 ), met AS (
-    SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({words("coalesce(text, '')")})) AS word FROM files)
-    SEMI JOIN template_words USING (word) GROUP BY word
+    SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({words("coalesce(text, '')")})) AS word FROM files) GROUP BY word
 ), idf AS (
-    SELECT word, coalesce(df, 0) AS df, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
-    FROM (SELECT DISTINCT word FROM template_words) LEFT JOIN met USING (word), total
+    SELECT word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+    FROM (SELECT word FROM template_words UNION SELECT word FROM met) LEFT JOIN met USING (word), total
 ), template_vectors AS (
-    SELECT name, word, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY name)) AS x FROM template_words JOIN idf USING (word)
+    SELECT number, name, word, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY number)) AS x FROM template_words JOIN idf USING (word)
 ), lines AS (
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, w
+    SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no, w
     FROM (SELECT doc_id, k, {words('line')} AS w FROM (
         SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k
         FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l FROM files)))
     WHERE len(w) > 0
-), line_words AS (
-    SELECT doc_id, no, word, df, (1 + ln(tf)) * coalesce(idf, ln(n + 1) + 1) AS x
-    FROM (SELECT doc_id, no, word, count(*) AS tf FROM (SELECT doc_id, no, unnest(w) AS word FROM lines) GROUP BY ALL)
-    LEFT JOIN idf USING (word), total
-), marked AS (
-    SELECT doc_id, no, sqrt(sum(x * x)) AS norm FROM line_words, total GROUP BY ALL HAVING bool_or(coalesce(df * 8 <= n, false))
+), placed AS (SELECT *, k - no = min(k - no) OVER (PARTITION BY doc_id) AS opening FROM lines
+), parts AS (
+    SELECT doc_id, no, 'line' AS kind, w FROM lines
+    UNION ALL SELECT doc_id, 0, 'header', flatten(list(w)) FROM placed WHERE opening GROUP BY doc_id HAVING count(*) > 1
+    UNION ALL SELECT doc_id, 0, 'file', flatten(list(w)) FROM placed GROUP BY doc_id HAVING NOT bool_and(opening)
+), part_words AS (
+    SELECT doc_id, no, kind, word, (1 + ln(tf)) * idf AS x
+    FROM (SELECT doc_id, no, kind, word, count(*) AS tf FROM (SELECT doc_id, no, kind, unnest(w) AS word FROM parts) GROUP BY ALL) JOIN idf USING (word)
+), norms AS (
+    SELECT doc_id, no, kind, sqrt(sum(x * x)) AS norm FROM part_words GROUP BY ALL
 ), cosines AS (
-    SELECT doc_id, no, name, round(sum(l.x * t.x) / any_value(norm), 9) AS cosine
-    FROM marked JOIN line_words l USING (doc_id, no) JOIN template_vectors t USING (word) GROUP BY ALL
+    SELECT doc_id, no, kind, number, any_value(name) AS name, round(sum(l.x * t.x) / any_value(norm), 9) AS cosine
+    FROM norms JOIN part_words l USING (doc_id, no, kind) JOIN template_vectors t USING (word) GROUP BY doc_id, no, kind, number
 ), own AS (
-    SELECT doc_id, no, name, cosine FROM cosines WHERE cosine >= 0.6
+    SELECT doc_id, no, name, cosine FROM cosines WHERE cosine >= {THRESHOLD}
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name, no) = 1
 ), given AS (
     SELECT dir AS above, arg_min(name, dir || leaf) AS given FROM files JOIN own USING (doc_id) WHERE no = 0 GROUP BY dir
