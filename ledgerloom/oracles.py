@@ -247,6 +247,27 @@ add("canonical_names", CANONICAL, "SELECT tenant, name, canonical FROM canon")
 add("merged_products", CANONICAL, """
 SELECT l.tenant, coalesce(canonical, p_name) AS product, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount
 FROM ledger l LEFT JOIN canon c ON c.tenant = l.tenant AND c.name = l.p_name GROUP BY ALL""")
+BY_WORDS = """RECURSIVE """ + LEDGER + r""", spelled AS (
+  SELECT tenant, amount, CASE voucher_id % 4 WHEN 0 THEN upper(turned) WHEN 1 THEN p_name || ' 1kg' WHEN 2 THEN '1 KG, ' || turned ELSE p_name END AS name
+  FROM (SELECT *, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS turned FROM ledger)),
+names AS (SELECT tenant, name, count(*) AS n, list_sort(regexp_extract_all(lower(name), '[0-9]+|[^\x00-\x60\x7B-\x7F]+')) AS words
+  FROM spelled GROUP BY ALL HAVING count(*) >= 2),
+bags AS (SELECT DISTINCT tenant, words, array_to_string(words, ' ') AS bag FROM names),
+edges AS (SELECT a.tenant, a.bag AS a, b.bag AS b FROM bags a JOIN bags b ON a.tenant = b.tenant
+  WHERE levenshtein(a.bag, b.bag) * 100 <= 15 * greatest(length(a.bag), length(b.bag))
+    OR list_has_all(b.words, a.words) AND len(list_distinct(a.words)) >= 2 AND length(b.bag) < 1.5 * length(a.bag)
+    OR list_has_all(a.words, b.words) AND len(list_distinct(b.words)) >= 2 AND length(a.bag) < 1.5 * length(b.bag)),
+reach(tenant, a, b) AS (SELECT tenant, a, b FROM edges
+  UNION SELECT r.tenant, r.a, e.b FROM reach r JOIN edges e ON e.tenant = r.tenant AND e.a = r.b),
+canon AS (SELECT m.tenant, m.name, n.name AS canonical FROM reach r
+  JOIN (SELECT *, array_to_string(words, ' ') AS bag FROM names) m ON m.tenant = r.tenant AND m.bag = r.a
+  JOIN (SELECT *, array_to_string(words, ' ') AS bag FROM names) n ON n.tenant = r.tenant AND n.bag = r.b
+  QUALIFY row_number() OVER (PARTITION BY m.tenant, m.name ORDER BY length(n.name) DESC, n.n DESC, n.name) = 1)"""
+add("products_by_words", BY_WORDS, """
+SELECT tenant, canonical, n_names, CAST(total AS DOUBLE) AS amount FROM
+  (SELECT tenant, canonical, count(*) AS n_names FROM canon GROUP BY ALL) JOIN
+  (SELECT s.tenant, coalesce(canonical, s.name) AS canonical, sum(amount) AS total FROM spelled s
+   LEFT JOIN canon c ON c.tenant = s.tenant AND c.name = s.name GROUP BY ALL) USING (tenant, canonical)""")
 add("sampled_ledger", LEDGER, """
 SELECT tenant, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger
 WHERE substr(md5(row_id || '42'), 1, 7) < printf('%07x', CAST(0.25 * 268435456 AS BIGINT)) GROUP BY tenant""")

@@ -10,6 +10,7 @@ from ledgerloom.fixed_values import SEVERITIES
 from ledgerloom.functions import amounts, dates, text
 from ledgerloom.ledger import conform, read_table, row_key, staged_ledger
 from ledgerloom.operators import accounts, anomalies, calendar, cleaning, health, metrics, periods, portfolio
+from ledgerloom.operators import name_words
 from ledgerloom.operators import product_names as names
 from ledgerloom.operators import reports, segments
 from ledgerloom.operators.outliers import outlier_weeks
@@ -216,6 +217,19 @@ def merged_products(spark, sf_dir):
     ))
 
 
+@query
+def products_by_words(spark, sf_dir):
+    """Names written in other orders, spacings and with additions are one product."""
+    name, key = F.regexp_replace("product", r"^Brand#\d+ ", ""), F.col("voucher_id").cast("long")
+    turned = F.array_join(F.reverse(F.split(name, " ")), " ")
+    spelled = F.when(key % 4 == 0, F.upper(turned)).when(key % 4 == 1, F.concat(name, F.lit(" 1kg"))).when(
+        key % 4 == 2, F.concat(F.lit("1 KG, "), turned)).otherwise(name)
+    merged, mapping = name_words.merge_by_words(staged_ledger(spark, sf_dir).withColumn("product", spelled))
+    groups = mapping.groupBy("tenant", "canonical").agg(F.count("*").alias("n_names"))
+    sums = merged.groupBy("tenant", F.col("product").alias("canonical")).agg(F.sum("amount").alias("amount"))
+    return plain(groups.join(sums, ["tenant", "canonical"]))
+
+
 @query
 def sampled_ledger(spark, sf_dir):
     sampled = cleaning.sample_ledger(staged_ledger(spark, sf_dir), 0.25)

@@ -69,3 +69,46 @@ def test_numbered_names_are_joined_without_their_pairs(spark):
     assert names.sure_links(counts).count() < 20 * len(rows)
     found = names.canonical_names(counts)
     assert {r["canonical"][:12]: r["count"] for r in found.groupBy("canonical").count().collect()} == {"Samsung Gala": 3000, "Rock Salt Pa": 2}
+
+
+def test_bags_of_words(spark):
+    from ledgerloom.operators.name_words import bag
+
+    cases = {"Salt Rock 1kg": "1 kg rock salt", "Rock Salt 1 kg": "1 kg rock salt", " ROCK-salt, 1KG ": "1 kg rock salt", "चाय 250g चाय": "250 g चाय चाय", "--": ""}
+    df = spark.createDataFrame(list(cases.items()), "name string, expected string")
+    assert df.filter(bag(F.col("name")) != F.col("expected")).count() == 0
+
+
+def test_groups_by_words_against_all_pairs(spark):
+    from ledgerloom.operators.name_words import bag, canonical_by_words
+
+    rng = random.Random(11)
+    words = ["rock", "salt", "sugar", "tea", "green", "brown", "pure", "500", "1", "kg", "g", "सोप"]
+    made = {"Salt Rock 1kg", "Rock Salt 1 kg", "Rocck salt 1kg", "Rock Salt", "--"}
+    while len(made) < 90:
+        name = [rng.choice(words) for _ in range(rng.randint(1, 4))]
+        made |= {" ".join(name), "".join(w.title() + rng.choice([" ", "-"]) for w in reversed(name))}
+    df = spark.createDataFrame([("t", n, 2 + len(n) % 3) for n in sorted(made)], "tenant string, name string, n long")
+    got = {r["name"]: r["canonical"] for r in canonical_by_words(df).collect()}
+    bags = {r["name"]: r["bag"] for r in df.select("name", bag(F.col("name")).alias("bag")).collect() if r["bag"]}
+
+    def linked(a, b):
+        inner, outer = sorted((a, b), key=len)
+        sets = {x: set(x.split()) for x in (a, b)}
+        contained = any(len(sets[x]) >= 2 and sets[x] <= sets[y] and len(y) < 1.5 * len(x) for x, y in ((a, b), (b, a)))
+        return contained or edits(a, b) * 100 <= 15 * len(outer)
+
+    nodes = sorted(set(bags.values()))
+    label = {b: b for b in nodes}
+    for _ in nodes:
+        for a in nodes:
+            for b in nodes:
+                if label[a] != label[b] and linked(a, b):
+                    low = min(label[a], label[b])
+                    label[a] = label[b] = low
+    expected = {}
+    for name, b in bags.items():
+        group = [n for n, x in bags.items() if label[x] == label[b]]
+        expected[name] = min(group, key=lambda n: (-len(n), -(2 + len(n) % 3), n.encode()))
+    assert got == expected
+    assert got["Salt Rock 1kg"] == got["Rock Salt 1 kg"] == got["Rocck salt 1kg"] and "--" not in got
