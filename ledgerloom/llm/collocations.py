@@ -190,8 +190,10 @@ def only_frequent(cut: DataFrame, words: DataFrame) -> str:
                 ], names=["chunk", "lang", "codes", "ids", "counts"])
 
     own = cut.select("chunk", "lang", F.posexplode("words").alias("place", "word")).filter(F.col("place") > BREAK)
-    found = own.join(small(words.select("lang", "word", "f", "id")), ["lang", "word"])
-    known = found.groupBy("chunk").agg(F.collect_list(F.struct("place", "id", "f")).alias("known"))
+    # Every word of a chunk looks itself up, so the join makes as many rows as the chunks have words.
+    found = own.join(small(words.select("lang", "word", "f", "id")), ["lang", "word"], "left")
+    listed = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("place", "id", "f")))
+    known = found.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0)
     joined = cut.select("chunk", "lang", "codes").join(known, "chunk")
     return bucketed(joined.mapInArrow(run, "chunk long, lang string, codes binary, ids array<long>, counts array<long>"), "phrase_chunks", "chunk")
 
