@@ -552,6 +552,13 @@ WHERE report_id % 50 = 7""")
 add("analysis_by_any_id", ANALYSES, f"""
 SELECT analysis_id, upload_id FROM analyses WHERE analysis_id = {V.ANALYSIS_ID_BASE + 3}
 OR upload_id = {V.ANALYSIS_ID_BASE + 3}""")
+add("owned_lookups", f"{UPLOADS}, {ANALYSES}, {REPORTS}, {CLIENTS}", f"""
+SELECT lookup, 'own' AS asked_by, CAST(id AS BIGINT) AS id FROM (
+  SELECT 'report' AS lookup, min(report_id) AS id FROM reports
+  UNION ALL SELECT 'analysis', min(report_id) + {V.ANALYSIS_ID_BASE} FROM reports
+  UNION ALL SELECT 'by_analysis_id', min(report_id) FROM reports
+  UNION ALL SELECT 'by_upload_id', min(report_id) + {V.ANALYSIS_ID_BASE} FROM reports
+  UNION ALL SELECT 'client', upload_count FROM client_stats WHERE client_id = (SELECT min(client_id) FROM clients))""")
 LATEST = """latest AS (
   SELECT * FROM analyses WHERE created_at > TIMESTAMP '2001-09-01' - INTERVAL 60 DAY
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, analysis_id DESC) = 1)"""

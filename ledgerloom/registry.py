@@ -491,6 +491,29 @@ def analysis_by_any_id(spark, sf_dir):
     return made.select("analysis_id", "upload_id")
 
 
+@query
+def owned_lookups(spark, sf_dir):
+    """The first stored report, its analysis by every id, and a client, each asked for by its owner and by somebody else, who gets nothing."""
+    analyses, uploads, reports, clients = (t(spark, sf_dir) for t in (V.analyses, V.uploads, V.reports, V.clients))
+    report = reports.orderBy("report_id").select("report_id", "analysis_id", "user_id").first()
+    client = clients.orderBy("client_id").select("client_id", "owner_id").first()
+    upload = report["analysis_id"] - V.ANALYSIS_ID_BASE
+    found = None
+    for owner, shift in (("own", 0), ("alien", 1)):
+        user = report["user_id"] + shift
+        answers = {
+            "report": portfolio.fetch_report(reports, analyses, report["report_id"], user).select(F.col("report_id").alias("id")),
+            "analysis": portfolio.fetch_analysis(analyses, uploads, upload, user).select(F.col("analysis_id").alias("id")),
+            "by_analysis_id": portfolio.analysis_by_any_id(analyses, uploads, report["analysis_id"], user).select(F.col("upload_id").alias("id")),
+            "by_upload_id": portfolio.analysis_by_any_id(analyses, uploads, upload, user).select(F.col("analysis_id").alias("id")),
+            "client": portfolio.client_detail(clients, uploads, client["owner_id"] + shift, client["client_id"]).select(F.col("upload_count").alias("id")),
+        }
+        for name, answer in answers.items():
+            rows = answer.select(F.lit(name).alias("lookup"), F.lit(owner).alias("asked_by"), F.col("id").cast("long").alias("id"))
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def latest_analyses(spark, sf_dir):
     return portfolio.latest_analyses(V.analyses(spark, sf_dir), "2001-09-01").select(
