@@ -8,7 +8,7 @@ from ledgerloom.functions.dates import as_moment
 from ledgerloom.functions.text import IS_ASCII, collapse_spaces, title_case_ascii, unicode_name, unicode_title
 from ledgerloom.ledger import require
 from ledgerloom.operators.periods import tenant_stats
-from ledgerloom.plans.joins import BROADCAST_ROWS, lookup_join, pinned
+from ledgerloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, measured, pinned
 
 FLAGS = ("flag_future_date", "flag_negative_amount", "flag_extreme_amount", "flag_duplicate")
 DUPLICATE_KEY = ("date", "customer", "product", "amount")
@@ -37,43 +37,40 @@ def flag_extreme(ledger: DataFrame, stats: DataFrame | None = None) -> DataFrame
     )
 
 
-def _same_key(key: tuple[str, ...]) -> Column:
-    """Equal key of a row and of a table whose columns carry a leading underscore; nulls are equal."""
-    same = F.col("tenant") == F.col("_tenant")
-    for column in key:
-        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
-    return same
-
-
-def _underscored(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns])
-
-
 def flag_duplicates(
     ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """All but the first row of every set of rows that agree on `key` within a tenant; nulls are equal.
 
-    Sets of more than one row are counted by a hash aggregate that combines before its shuffle. While there are few
-    such sets, they and their first rows are broadcast and the ledger is not shuffled at all. Otherwise every set's first
-    row is a minimum, and rows look themselves up among the firsts by their unique row_id. Neither way puts a set of
-    copies into one task, so one set may be any share of the ledger.
+    Two 64-bit digests of the key are counted, so what is shuffled does not depend on how long names are. Only rows whose digests
+    repeat bring their keys to a second count, which decides. The firsts of the repeated keys are broadcast if they were measured and
+    found small; else rows that are not first find themselves by their unique row_id. Counts combine ahead of their shuffles and no
+    task holds a set of copies, so one set may be any share of the ledger.
     """
-    groups = ["tenant", *key]
-    repeated = pinned(ledger.groupBy(*groups).agg(F.count("*").alias("_n")).filter("_n > 1").select(*groups))
-    if repeated.count() <= broadcast_rows:
-        members = ledger.select(*groups, "row_id").join(
-            F.broadcast(_underscored(repeated)), _same_key(key), "left_semi"
-        )
-        firsts = _underscored(members.groupBy(*groups).agg(F.min("row_id").alias("first")))
-        joined = ledger.join(F.broadcast(firsts), _same_key(key), "left")
+    digest = ["tenant", "_digest", "_second"]
+    rows = ledger.withColumns({"_digest": F.xxhash64(*key), "_second": F.xxhash64(F.lit("second"), *key)})
+    repeated = rows.groupBy(*digest).agg(F.count("*").alias("_n")).filter("_n > 1").select(*digest)
+    narrow = rows.select(*digest, *key, "row_id")
+    members = lookup_join(narrow, repeated, digest, spread_by=["row_id"], broadcast_rows=broadcast_rows)
+    firsts = pinned(
+        members.groupBy(*digest, *key).agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    )
+    known = firsts.select(*digest, *[F.col(c).alias(f"_{c}") for c in (*key, "first")])
+    same = F.lit(True)
+    for column in key:
+        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+    n, size = measured(firsts)
+    if n <= broadcast_rows and size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(known.withColumnsRenamed({d: f"{d}_" for d in digest})), (
+            (F.col("tenant") == F.col("tenant_")) & (F.col("_digest") == F.col("_digest_")) & (F.col("_second") == F.col("_second_")) & same
+        ), "left")
         flag = F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))
     else:
-        firsts = _underscored(ledger.groupBy(*groups).agg(F.min("row_id").alias("row_id")))
-        # The key is part of the condition, so that a row_id given twice by mistake cannot multiply rows.
-        joined = ledger.join(firsts, _same_key(key) & (F.col("row_id") == F.col("_row_id")), "left")
-        flag = F.col("_row_id").isNull()
-    return joined.withColumn("flag_duplicate", flag).drop(*firsts.columns)
+        met = lookup_join(members, known, digest, spread_by=["row_id"], broadcast_rows=broadcast_rows, right_rows=n)
+        later = met.filter(same & (F.col("row_id") > F.col("_first"))).select(*digest, "row_id").distinct()
+        joined = rows.join(later.withColumn("_later", F.lit(True)), [*digest, "row_id"], "left")
+        flag = F.col("_later").isNotNull()
+    return joined.withColumn("flag_duplicate", flag).select(*ledger.columns, "flag_duplicate")
 
 
 def _unicode_names(ledger: DataFrame) -> DataFrame:
