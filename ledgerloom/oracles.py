@@ -589,6 +589,12 @@ add("upserted_users", USERS + """, logins AS (
 SELECT coalesce(u.email, l.email) AS email, coalesce(l.name, u.name) AS name, coalesce(u.user_type, 'ca_firm') AS user_type,
        CASE WHEN l.email IS NOT NULL THEN TIMESTAMP '{V.AS_OF}' END AS updated_at
 FROM users u FULL OUTER JOIN logins l ON l.email = u.email""")
+add("versioned_accounts", USERS + f""", logins AS (SELECT s_suppkey * 16 AS user_id, s_name AS name FROM supplier),
+first AS (SELECT user_id, name, user_type, CAST(NULL AS TIMESTAMP) AS updated_at FROM users),
+second AS (SELECT coalesce(u.user_id, l.user_id) AS user_id, coalesce(l.name, u.name) AS name, coalesce(u.user_type, 'ca_firm') AS user_type,
+           CASE WHEN l.user_id IS NOT NULL THEN TIMESTAMP '{V.AS_OF}' END AS updated_at FROM users u FULL OUTER JOIN logins l ON l.user_id = u.user_id)""", """
+SELECT *, 0 AS version FROM first UNION ALL SELECT *, 1 FROM second
+UNION ALL SELECT *, 2 FROM second WHERE user_id NOT IN (SELECT user_id FROM first WHERE user_id % 10 = 3)""")
 WAITLIST = """waitlist AS (
   SELECT '+91' || lpad(CAST(c_custkey AS VARCHAR), 10, '9') AS phone, c_name AS name, c_custkey % 4 <> 0 AS approved
   FROM customer WHERE c_custkey % 3 <> 0)"""

@@ -17,7 +17,7 @@ from ledgerloom.operators.outliers import outlier_weeks
 from ledgerloom.plans.analyze import analyze
 from ledgerloom.plans.joins import top_per_group
 from ledgerloom.plans.shared import already_staged, new_folder, over_all_cores, staged
-from ledgerloom.sources import catalog, delimited, tables, voucher_xml
+from ledgerloom.sources import catalog, delimited, tables, versions, voucher_xml
 from ledgerloom.streaming import arrivals, incremental
 from ledgerloom.streaming import messages as inbox
 
@@ -562,6 +562,25 @@ def upserted_users(spark, sf_dir):
     return accounts.upsert(target, incoming, "email", ["name"], V.AS_OF)
 
 
+@query
+def versioned_accounts(spark, sf_dir):
+    """Users are stored, signed in again, and deleted; each change rewrites the buckets of its keys. Old and new versions are read."""
+    users = V.users(spark, sf_dir).select("user_id", "name", "user_type", "updated_at")
+    stored = versions.VersionedTable(new_folder(spark, "versioned-users"), "user_id", 16)
+    stored.create(users)
+    supplier = read_table(spark, sf_dir, "supplier")
+    logins = supplier.select((F.col("s_suppkey") * 16).cast("long").alias("user_id"), F.col("s_name").alias("name"), F.lit("ca_firm").alias("user_type"),
+                             F.col("s_suppkey").alias("seq"))
+    stored.change(logins, lambda old: accounts.upsert(old, logins, "user_id", ["name"], V.AS_OF))
+    gone = users.filter(F.col("user_id") % 10 == 3).select("user_id")
+    stored.change(gone, lambda old: old.join(gone, "user_id", "left_anti"))
+    kept = None
+    for version in range(3):
+        rows = stored.read(spark, version).withColumn("version", F.lit(version))
+        kept = rows if kept is None else kept.unionByName(rows)
+    return kept
+
+
 @query
 def joined_waitlist(spark, sf_dir):
     key = F.col("c_custkey")
