@@ -622,6 +622,22 @@ WHERE created_at + INTERVAL 30 DAY > TIMESTAMP '{V.AS_OF}'""")
 add("whitelist_gate", f"{USERS}, {WAITLIST}", """
 SELECT user_id, coalesce(phone IN (SELECT phone FROM waitlist WHERE approved), false) AS whitelisted FROM users""")
 
+def shown(amount: str) -> str:
+    return f"'₹' || format('{{:,}}', CAST(round_even(CAST({amount} AS DOUBLE), 0) AS BIGINT))"
+
+
+add("chat_summary_parts", f"{revenue_ctes()}, {TOP}, {idle('product')}, dead AS (SELECT *, row_number() OVER (PARTITION BY tenant "
+    f"ORDER BY days DESC, product) AS no, count(*) OVER (PARTITION BY tenant) AS n_dead FROM idle WHERE days > 14)", f"""
+SELECT r.tenant, strftime(period_start, '%Y-%m-%d') || ' → ' || strftime(period_end, '%Y-%m-%d') AS period,
+  {shown('cur')} || ' ' || coalesce('(' || CASE WHEN change_pct >= 0 THEN '+' ELSE '' END || printf('%.1f', change_pct) || '%)', '') || ' '
+    || CASE {trend('change_pct')} WHEN 'up' THEN '📈' WHEN 'down' THEN '📉' ELSE '➡️' END AS revenue,
+  coalesce(products, '   N/A') AS products, customers, high_alerts, coalesce(dead, '') AS dead_stock
+FROM rev2 r LEFT JOIN (
+  SELECT tenant, string_agg('   ' || rank || '. ' || product || ' — ' || {shown('revenue')}, chr(10) ORDER BY rank) AS products FROM top GROUP BY tenant) USING (tenant)
+LEFT JOIN (SELECT tenant, count(*) FILTER (no <= 5) || ' items):*' || chr(10) || string_agg('   • ' || product, chr(10) ORDER BY no) FILTER (no <= 5)
+    || CASE WHEN any_value(n_dead) > 5 THEN chr(10) || '   ...और ' || (any_value(n_dead) - 5) || ' items' ELSE '' END AS dead FROM dead GROUP BY tenant) USING (tenant)
+LEFT JOIN (SELECT tenant, count(DISTINCT customer) AS customers FROM ledger GROUP BY tenant) USING (tenant)
+LEFT JOIN (WITH {REPORT} SELECT tenant, count(*) FILTER (severity = 'HIGH') AS high_alerts FROM report GROUP BY tenant) USING (tenant)""")
 # --- Reports ---
 
 

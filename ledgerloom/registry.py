@@ -658,6 +658,18 @@ def chat_summary(spark, sf_dir):
     return reports.chat_summary(made, report, counts, anomalies.top_anomalies(found, 1))
 
 
+@query
+def chat_summary_parts(spark, sf_dir):
+    """The message of every tenant taken apart again: period, revenue, products, customers, number of alerts, dead stock."""
+    message = F.col("message")
+    part = lambda pattern: F.regexp_extract(message, pattern, 1)
+    return chat_summary(spark, sf_dir).select(
+        "tenant", part(r"📅 (\S+ → \S+) \|").alias("period"), part(r"\*Revenue\*\n(.*)\n").alias("revenue"),
+        part(r"(?s)\*Top Products\*\n(.*?)\n\n👥").alias("products"), part(r"Customers:\* (\d+)").cast("long").alias("customers"),
+        F.coalesce(part(r"⚠️ \*(\d+) High").try_cast("long"), F.lit(0)).alias("high_alerts"), part(r"(?s)\*Dead Stock \((.*)$").alias("dead_stock"),
+    )
+
+
 @query
 def whole_analysis(spark, sf_dir):
     """Every step for all tenants; the row counts of the result tables per tenant."""
