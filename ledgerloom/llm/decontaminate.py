@@ -3,8 +3,8 @@
 Letters of the automaton are words of the items; any other word of a text is one separating letter. A text is scanned
 once, and hits are mapped back to character offsets of the original. Defined results: a null or empty text has no words
 and no hits; an item without words occurs nowhere; an item with fewer words than a window is one window. Repeated items
-count once by id, items without an id or text are left out. Very long texts are scanned whole. No row is joined or shuffled. Columns named like a result are
-replaced by it.
+count once by id, items without an id or text are left out. Very long texts are scanned whole. With one automaton no row is joined
+or shuffled. Columns named like a result are replaced by it.
 """
 
 import re
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import WORD_BYTES, annotate, shielded, texts_of
-from ledgerloom.plans.shared import runs_in_tasks
+from ledgerloom.llm.common import WORD_BYTES, annotate, shielded, slices, texts_of
+from ledgerloom.plans.joins import lookup_join
+from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
 
@@ -87,54 +88,80 @@ def find_contamination(
     return shielded(docs, ["text"], lambda d, kept: _scanned(d, benchmark, window, kept, automaton_bytes), keep)
 
 
+FIELDS = [
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
+]
+
+
+def reported(texts: list[bytes | None], found: list[tuple[list[tuple[int, int]], list[str]]]) -> list[pa.Array]:
+    """The result columns of texts whose hit word ranges and items are known."""
+    n_words = [len((t or b"").translate(WORD_BYTES).split()) for t in texts]
+    spans = []
+    for text, (ranges, _) in zip(texts, found):
+        places = [m.span() for m in WORD_IN_TEXT.finditer(text.decode("utf-8", "replace"))] if ranges else []
+        spans.append([{"begin": places[a][0], "end": places[b - 1][1]} for a, b in ranges])
+    return [
+        pa.array(n_words, pa.int64()), pa.array([sum(b - a for a, b in ranges) for ranges, _ in found], pa.int64()),
+        pa.array([items for _, items in found], pa.list_(pa.string())),
+        pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+    ]
+
+
 def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str] | None, automaton_bytes: int) -> DataFrame:
+    """One block of items is one pass. More blocks are passes of their own, one after the other, over numbered rows: a task never has more
+    than one automaton, and only rows with a hit are written, to be put together and to meet their rows."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // automaton_bytes) + 1
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     context = docs.sparkSession.sparkContext
-    fields = [
-        T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-        T.StructField("items", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.StructType([
-            T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("_ranges", T.ArrayType(T.LongType())),
-    ]
 
-    def scanner(shared, first: bool):
-        matchers: list[Matcher] = []
+    def scanner(block: int):
+        rows = [(r["item_id"], r["text"]) for r in items.filter(F.col("block") == block).select("item_id", "text").toLocalIterator()]
+        shared, matchers = context.broadcast(rows), []
 
-        def scan(part: pa.RecordBatch) -> list[pa.Array]:
+        def scan(texts: list[bytes | None]) -> list[tuple[list[tuple[int, int]], list[str]]]:
             if not matchers:
                 matchers.append(Matcher(shared.value, window))
-            n_words, n_hit, ids, spans, flat = [], [], [], [], []
-            before = [([], [])] * part.num_rows if first else list(zip(part.column("_ranges").to_pylist(), part.column("items").to_pylist()))
-            for text, (old_ranges, old_items) in zip(texts_of(part), before):
-                words = (text or b"").translate(WORD_BYTES).split()
-                ranges, found = matchers[0].scan(words)
-                if not first:
-                    ranges = merged([*ranges, *zip(old_ranges[::2], old_ranges[1::2])])
-                    found |= set(old_items)
-                n_words.append(len(words))
-                n_hit.append(sum(b - a for a, b in ranges))
-                ids.append(sorted(found))
-                flat.append([x for r in ranges for x in r])
-                places = [m.span() for m in WORD_IN_TEXT.finditer(text.decode("utf-8", "replace"))] if ranges else []
-                spans.append([{"begin": places[a][0], "end": places[b - 1][1]} for a, b in ranges])
-            return [
-                pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-                pa.array(flat, pa.list_(pa.int64())),
-            ]
+            hits = (matchers[0].scan((t or b"").translate(WORD_BYTES).split()) for t in texts)
+            return [(ranges, sorted(found)) for ranges, found in hits]
 
         return scan
 
-    found = docs
+    if blocks == 1:
+        scan = scanner(0)
+        return annotate(docs, lambda part: reported(texts_of(part), scan(texts_of(part))), FIELDS, keep)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "contamination-rows")
+    hits = None
     for block in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.filter(F.col("block") == block).select("item_id", "text").toLocalIterator()]
-        last = block == blocks - 1
-        wanted = keep if last or keep is None else [*keep, "text"]
-        scan = scanner(context.broadcast(rows), block == 0)
-        found = annotate(found, scan, fields, wanted)
-    return found.drop("_ranges")
-
+        written = staged(rows.select("_row", "text").mapInArrow(_hits(scanner(block)), "_row long, ranges array<long>, items array<string>"), "contamination-hits")
+        hits = written if hits is None else hits.unionByName(written)
+    both = hits.groupBy("_row").agg(
+        F.flatten(F.collect_list("ranges")).alias("_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items")
+    )
+    met = lookup_join(rows, both, ["_row"], "left", spread_by=["_row"])
+
+    def put_together(part: pa.RecordBatch) -> list[pa.Array]:
+        found = [
+            (merged(list(zip((flat or [])[::2], (flat or [])[1::2]))), own or [])
+            for flat, own in zip(part.column("_ranges").to_pylist(), part.column("_items").to_pylist())
+        ]
+        return reported(texts_of(part), found)
+
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    return annotate(met, put_together, FIELDS, kept)
+
+
+def _hits(scan):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = scan(texts_of(part))
+                at = [i for i, (ranges, _) in enumerate(found) if ranges]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("_row").take(pa.array(at, pa.int64())), pa.array([[x for r in found[i][0] for x in r] for i in at], pa.list_(pa.int64())),
+                    pa.array([found[i][1] for i in at], pa.list_(pa.string())),
+                ], names=["_row", "ranges", "items"])
+
+    return run
