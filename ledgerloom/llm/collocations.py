@@ -8,7 +8,8 @@ the counts their cuts need. A language is settled once `limit` surviving phrases
 can; else the next wave takes `GROWTH` times as much, at last everything.
 
 Texts are cut once into chunks of numbered words, written to the shared folder. A task counts the phrases of a chunk before anything is
-shuffled. Which words and phrases of a chunk are frequent comes back to it by joins of its distinct words and phrases with the tables of
+shuffled. Chunks are laid out by their number in a bucketed table of the session's catalogue, which is dropped at the end, so that later
+joins leave them where they are. Which words and phrases of a chunk are frequent comes back to it by joins of its distinct words and phrases with the tables of
 frequent ones; such a table is broadcast only when it was measured and found small. Nothing but counts of languages reaches the
 driver.
 
