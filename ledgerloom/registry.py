@@ -1108,7 +1108,7 @@ def newest_results(spark, arriving: incremental.Arrivals, label: str) -> dict[st
 @query
 def arriving_rows(spark, sf_dir):
     """Delimited files come in batches; revenue and best products from recent totals equal those of the whole ledger."""
-    arriving = incremental.csv_arrivals(spark, messy_csv(spark, sf_dir), delimited.named_cell("Branch"), maxFilesPerTrigger=3)
+    arriving = incremental.csv_arrivals(spark, messy_csv(spark, sf_dir), delimited.named_cell("Branch"), maxFilesPerTrigger=4)
     newest = newest_results(spark, arriving, "arriving-rows")
     best = newest["top_products"].filter("rank = 1").select("tenant", F.col("product").alias("best"), F.col("revenue").alias("best_revenue"))
     columns = ["tenant", "current_revenue", "previous_revenue", "change_pct", "trend"]
