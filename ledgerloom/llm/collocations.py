@@ -10,7 +10,7 @@ can; else the next wave takes `GROWTH` times as much, at last everything.
 Texts are cut once into chunks of numbered words, written to the shared folder. A task counts the phrases of a chunk before anything is
 shuffled. Chunks are laid out by their number in a bucketed table of the session's catalogue, which is dropped at the end, so that later
 joins leave them where they are. Which words and phrases of a chunk are frequent comes back to it by joins of its distinct words and phrases with the tables of
-frequent ones; such a table is broadcast only when it was measured and found small. Nothing but counts of languages reaches the
+frequent ones; such a table is broadcast, and phrases then looked up inside the task, only when it was measured and found small. Nothing but counts of languages reaches the
 driver.
 
 Defined results: a null text is empty, a null language is `und`. Repeated rows count as often as they stand there. Pieces end at
@@ -44,7 +44,7 @@ UNKNOWN = "und"
 FIRST_SHARE = 1 / 16
 GROWTH = 2
 # Text that a task holds in open chunks, all languages together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN_BYTES = bytes(
@@ -143,10 +143,11 @@ def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return over_all_cores(docs.select(*columns)).mapInArrow(run, schema)
 
 
-def sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """A staged table, marked for broadcast if it was measured and found small, and its number of rows."""
+def sized(df: DataFrame) -> tuple[DataFrame, int, bool]:
+    """A staged table, marked for broadcast if it was measured and found small, its number of rows, and whether it is small."""
     rows, size = measured(df)
-    return (F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df), rows
+    few = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return (F.broadcast(df) if few else df), rows, few
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -244,17 +245,27 @@ def word_columns(m: int, start: int = 1) -> list[str]:
     return [f"w{k}" for k in range(start, start + m)]
 
 
-def local_phrases(work: DataFrame, m: int) -> DataFrame:
-    """(chunk, w1 .. wm, c) of the phrases that each chunk finds worth counting."""
+def local_phrases(work: DataFrame, m: int, shared=None) -> DataFrame:
+    """(chunk, w1 .. wm, c) of the phrases that each chunk finds worth counting.
+
+    The frequent phrases of one word less come with each chunk as `known`, or all of them as a broadcast array `shared`.
+    """
     columns = word_columns(m)
 
+    def of_chunk(ids: np.ndarray) -> np.ndarray:
+        place = np.sort(ids)
+        at = np.minimum(np.searchsorted(place, shared.value), len(place) - 1)
+        return shared.value[(place[at] == shared.value).all(axis=1)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
                 ids, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "counts"))
                 known = None
-                if m > 2:
+                if m > 2 and shared is not None:
+                    known = of_chunk(ids)
+                elif m > 2:
                     known = batch.column("known")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, m - 1)
                 words, count = phrases_of(codes, ids, counts <= batch.column("cut")[i].as_py(), m, known)
                 arrays = [pa.array(np.full(len(count), batch.column("chunk")[i].as_py()), pa.int64())]
@@ -289,19 +300,23 @@ def wave_cuts(words: DataFrame, active: DataFrame | None, share: float) -> DataF
 def count_phrases(frequent: DataFrame, cuts: DataFrame, least: int, max_words: int) -> list[DataFrame]:
     """Tables of the frequent phrases of 2, 3 ... words that start or end in a word of the wave, with their counts."""
     work = frequent.join(cuts.select("lang", "cut"), "lang")
-    levels, known = [], None
+    levels, known, shared = [], None, None
     for m in range(2, max_words + 1):
         columns = word_columns(m)
         met = work if known is None else work.join(known, "chunk")
-        often = local_phrases(met, m).groupBy(*columns).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-        level, found = sized(staged(often, "phrase-level"))
+        often = local_phrases(met, m, shared).groupBy(*columns).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+        level, found, few = sized(staged(often, "phrase-level"))
         levels.append(level)
         if not found or m == max_words:
             break
+        if few:
+            table = level.select(*columns).toArrow()
+            known, shared = None, level.sparkSession.sparkContext.broadcast(np.stack([table.column(c).to_numpy() for c in columns], axis=1))
+            continue
         # Every row looks its phrase up, so the join makes as many rows as the chunks have.
-        back = local_phrases(met, m).join(level.select(*columns, F.lit(True).alias("often")), columns, "left")
+        back = local_phrases(met, m, shared).join(level.select(*columns, F.lit(True).alias("often")), columns, "left")
         listed = F.collect_list(F.when(F.col("often"), F.array(*columns)))
-        known = staged(back.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0), "phrase-known")
+        known, shared = staged(back.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0), "phrase-known"), None
     return levels
 
 
@@ -355,7 +370,7 @@ def grown(
     active, settled = None, None
     while True:
         cuts = staged(wave_cuts(words, active, share), "phrase-waves")
-        small_cuts, languages = sized(cuts)
+        small_cuts, languages, _ = sized(cuts)
         if not languages:
             return settled
         levels = count_phrases(frequent, small_cuts, least, max_words)
