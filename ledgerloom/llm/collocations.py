@@ -10,8 +10,9 @@ can; else the next wave takes `GROWTH` times as much, at last everything.
 Texts are cut once into chunks of numbered words, written to the shared folder. A task counts the phrases of a chunk before anything is
 shuffled. Chunks are laid out by their number in a bucketed table of the session's catalogue, which is dropped at the end, so that later
 joins leave them where they are. Which words and phrases of a chunk are frequent comes back to it by joins of its distinct words and phrases with the tables of
-frequent ones; such a table is broadcast, and phrases then looked up inside the task, only when it was measured and found small. Nothing but counts of languages reaches the
-driver.
+frequent ones; such a table is broadcast, and phrases then looked up inside the task, only when it was measured and found small. Longer phrases need only
+the words near a frequent pair, so a wave reads whole chunks for its pairs and once more to cut out these words. A chunk is a row of several megabytes, so it goes to Python as
+a batch of its own. Nothing but counts of languages reaches the driver.
 
 Defined results: a null text is empty, a null language is `und`. Repeated rows count as often as they stand there. Pieces end at
 `. , ; : ! ?` and at line breaks, words at spaces and tabs; only A-Z are lower-cased; bytes that are no UTF-8 are kept as they are. Ties in
@@ -21,11 +22,12 @@ gives no rows. Only the columns of the text and the language are read.
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SLICE_BYTES, slices, texts_of
@@ -45,6 +47,10 @@ FIRST_SHARE = 1 / 16
 GROWTH = 2
 # Text that a task holds in open chunks, all languages together.
 CHUNK_BYTES = 4_000_000
+# Texts, and chunks, that are read and go to Python at once.
+TEXT_ROWS, CHUNK_ROWS = 1_000, 1
+# Parquet looks at the size of its pages and row groups after a hundred rows; a chunk is as large as a page should be.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 PLAIN_BYTES = bytes(
@@ -143,6 +149,19 @@ def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return over_all_cores(docs.select(*columns)).mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside the block reads and sends to Python at most so many rows at once."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    try:
+        for key in before:
+            spark.conf.set(key, rows)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def sized(df: DataFrame) -> tuple[DataFrame, int, bool]:
     """A staged table, marked for broadcast if it was measured and found small, its number of rows, and whether it is small."""
     rows, size = measured(df)
@@ -159,7 +178,7 @@ def bucketed(df: DataFrame, label: str, key: str) -> str:
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).sortBy(key).option("path", new_folder(spark, label)).saveAsTable(name)
+    df.write.options(**LARGE_ROWS).bucketBy(parts, key).sortBy(key).option("path", new_folder(spark, label)).saveAsTable(name)
     return name
 
 
@@ -168,7 +187,13 @@ def frequent_words(cut: DataFrame, least: int) -> DataFrame:
     single = cut.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     often = single.groupBy("lang", "word").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
     total = cut.groupBy("lang").agg(F.sum("total").alias("n"))
-    return staged(often.join(total, "lang").withColumn("id", F.monotonically_increasing_id()), "phrase-words")
+    with rows_at_once(cut.sparkSession, CHUNK_ROWS):
+        return staged(often.join(total, "lang").withColumn("id", F.monotonically_increasing_id()), "phrase-words")
+
+
+def closed_up(codes: np.ndarray) -> np.ndarray:
+    """Codes with one -1 for several in a row."""
+    return codes[np.r_[True, (codes[1:] >= 0) | (codes[:-1] >= 0)]]
 
 
 def only_frequent(cut: DataFrame, words: DataFrame) -> str:
@@ -184,8 +209,7 @@ def only_frequent(cut: DataFrame, words: DataFrame) -> str:
                 place, ids, counts = place[order], ids[order], counts[order]
                 new = np.full(max(int(old.max()), int(place.max())) + 1, -1, np.int32)
                 new[place] = np.arange(len(place))
-                codes = new[old]
-                codes = codes[np.r_[True, (codes[1:] >= 0) | (codes[:-1] >= 0)]]
+                codes = closed_up(new[old])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([codes.tobytes()], pa.binary()),
                     pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
@@ -197,7 +221,9 @@ def only_frequent(cut: DataFrame, words: DataFrame) -> str:
     listed = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("place", "id", "f")))
     known = found.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0)
     joined = cut.select("chunk", "lang", "codes").join(known, "chunk")
-    return bucketed(joined.mapInArrow(run, "chunk long, lang string, codes binary, ids array<long>, counts array<long>"), "phrase_chunks", "chunk")
+    told = joined.mapInArrow(run, "chunk long, lang string, codes binary, ids array<long>, counts array<long>")
+    with rows_at_once(cut.sparkSession, CHUNK_ROWS):
+        return bucketed(told, "phrase_chunks", "chunk")
 
 
 def keys(columns: list[np.ndarray], span: int) -> np.ndarray:
@@ -212,24 +238,36 @@ def keys(columns: list[np.ndarray], span: int) -> np.ndarray:
     return key
 
 
+def runs_of(codes: np.ndarray, m: int) -> np.ndarray:
+    """Whether m words in a row start here."""
+    run = codes >= 0
+    for _ in range(m - 1):
+        run = run[:-1] & (codes[len(codes) - len(run) + 1 :] >= 0)
+    return run
+
+
+def starts_of(codes: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether a phrase that `known` has a row of ids for starts here."""
+    m = known.shape[1]
+    run = runs_of(codes, m)
+    order = np.argsort(ids)
+    listed = order[np.searchsorted(ids[order], known)]
+    at = np.flatnonzero(run)
+    columns = [np.concatenate([codes[at + k], listed[:, k]]) for k in range(m)]
+    key = keys(columns, max(len(ids), 1))
+    often = np.zeros(len(run), bool)
+    often[at] = np.isin(key[: len(at)], key[len(at) :])
+    return often
+
+
 def phrases_of(codes: np.ndarray, ids: np.ndarray, rare: np.ndarray, m: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and counts of the phrases of m words that may be frequent and start or end in a rare word.
 
     `known` has a row of ids for every frequent phrase of one word less that starts or ends in a rare word.
     """
     span = max(len(ids), 1)
-    run = codes >= 0  # whether so many words in a row start here
-    for _ in range(m - 2):
-        run = run[:-1] & (codes[len(codes) - len(run) + 1 :] >= 0)
-    often = run
-    if m > 2:
-        order = np.argsort(ids)
-        listed = order[np.searchsorted(ids[order], known)]
-        at = np.flatnonzero(run)
-        columns = [np.concatenate([codes[at + k], listed[:, k]]) for k in range(m - 1)]
-        key = keys(columns, span)
-        often = np.zeros(len(run), bool)
-        often[at] = np.isin(key[: len(at)], key[len(at) :])
+    run = runs_of(codes, m - 1)
+    often = starts_of(codes, ids, known) if m > 2 else run
     n = max(len(codes) - m + 1, 0)
     at = np.flatnonzero(run[:n] & (codes[m - 1 :] >= 0))
     first, last = rare[codes[at]], rare[codes[at + m - 1]]
@@ -241,10 +279,35 @@ def phrases_of(codes: np.ndarray, ids: np.ndarray, rare: np.ndarray, m: int, kno
     return np.stack([ids[codes[at + k]] for k in range(m)], axis=1), count
 
 
+def near_pairs(codes: np.ndarray, ids: np.ndarray, rare: np.ndarray, pairs: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with only the words that phrases of up to `reach` words can have, and the former numbers of those words.
+
+    A longer phrase that starts in a rare word starts with a frequent pair, and one that ends in a rare word ends with one.
+    """
+    at = np.flatnonzero(starts_of(codes, ids, pairs))
+    first, last = at[rare[codes[at]]], at[rare[codes[at + 1]]] + 1
+    near = np.zeros(len(codes), bool)
+    for k in range(reach):
+        near[np.minimum(first + k, len(codes) - 1)] = True
+        near[np.maximum(last - k, 0)] = True
+    codes = closed_up(np.where(near, codes, -1))
+    used, new = np.unique(codes[codes >= 0], return_inverse=True)
+    left = np.full(len(codes), -1, np.int32)
+    left[codes >= 0] = new
+    return left, used
+
+
 def word_columns(m: int, start: int = 1) -> list[str]:
     return [f"w{k}" for k in range(start, start + m)]
 
 
+def of_chunk(phrases: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The phrases that have only words with these ids."""
+    place = np.sort(ids)
+    at = np.minimum(np.searchsorted(place, phrases), len(place) - 1)
+    return phrases[(place[at] == phrases).all(axis=1)]
+
+
 def local_phrases(work: DataFrame, m: int, shared=None) -> DataFrame:
     """(chunk, w1 .. wm, c) of the phrases that each chunk finds worth counting.
 
@@ -252,11 +315,6 @@ def local_phrases(work: DataFrame, m: int, shared=None) -> DataFrame:
     """
     columns = word_columns(m)
 
-    def of_chunk(ids: np.ndarray) -> np.ndarray:
-        place = np.sort(ids)
-        at = np.minimum(np.searchsorted(place, shared.value), len(place) - 1)
-        return shared.value[(place[at] == shared.value).all(axis=1)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -264,7 +322,7 @@ def local_phrases(work: DataFrame, m: int, shared=None) -> DataFrame:
                 ids, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "counts"))
                 known = None
                 if m > 2 and shared is not None:
-                    known = of_chunk(ids)
+                    known = of_chunk(shared.value, ids)
                 elif m > 2:
                     known = batch.column("known")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, m - 1)
                 words, count = phrases_of(codes, ids, counts <= batch.column("cut")[i].as_py(), m, known)
@@ -275,6 +333,24 @@ def local_phrases(work: DataFrame, m: int, shared=None) -> DataFrame:
     return work.mapInArrow(run, ", ".join(f"{c} long" for c in ["chunk", *columns, "c"]))
 
 
+def only_near(work: DataFrame, shared, reach: int) -> DataFrame:
+    """(chunk, codes, ids, counts, cut): chunks with only the words near a pair of the broadcast array `shared`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
+                ids, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "counts"))
+                codes, used = near_pairs(codes, ids, counts <= batch.column("cut")[i].as_py(), of_chunk(shared.value, ids), reach)
+                if len(used):
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("chunk").slice(i, 1), pa.array([codes.tobytes()], pa.binary()), pa.array([ids[used]], pa.list_(pa.int64())),
+                        pa.array([counts[used]], pa.list_(pa.int64())), batch.column("cut").slice(i, 1),
+                    ], names=["chunk", "codes", "ids", "counts", "cut"])
+
+    return work.mapInArrow(run, "chunk long, codes binary, ids array<long>, counts array<long>, cut long")
+
+
 def wave_cuts(words: DataFrame, active: DataFrame | None, share: float) -> DataFrame:
     """(lang, cut, bound): per language the highest count of the words of this wave, and the most that phrases of other words can score.
 
@@ -299,24 +375,31 @@ def wave_cuts(words: DataFrame, active: DataFrame | None, share: float) -> DataF
 
 def count_phrases(frequent: DataFrame, cuts: DataFrame, least: int, max_words: int) -> list[DataFrame]:
     """Tables of the frequent phrases of 2, 3 ... words that start or end in a word of the wave, with their counts."""
+    spark = frequent.sparkSession
     work = frequent.join(cuts.select("lang", "cut"), "lang")
     levels, known, shared = [], None, None
     for m in range(2, max_words + 1):
         columns = word_columns(m)
         met = work if known is None else work.join(known, "chunk")
         often = local_phrases(met, m, shared).groupBy(*columns).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-        level, found, few = sized(staged(often, "phrase-level"))
+        with rows_at_once(spark, CHUNK_ROWS):
+            level = staged(often, "phrase-level")
+        level, found, few = sized(level)
         levels.append(level)
         if not found or m == max_words:
             break
         if few:
             table = level.select(*columns).toArrow()
-            known, shared = None, level.sparkSession.sparkContext.broadcast(np.stack([table.column(c).to_numpy() for c in columns], axis=1))
+            known, shared = None, spark.sparkContext.broadcast(np.stack([table.column(c).to_numpy() for c in columns], axis=1))
+            if m == 2 and max_words > 3:
+                with rows_at_once(spark, CHUNK_ROWS):
+                    work = staged(only_near(work, shared, max_words), "phrase-near", options=LARGE_ROWS)
             continue
         # Every row looks its phrase up, so the join makes as many rows as the chunks have.
         back = local_phrases(met, m, shared).join(level.select(*columns, F.lit(True).alias("often")), columns, "left")
         listed = F.collect_list(F.when(F.col("often"), F.array(*columns)))
-        known, shared = staged(back.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0), "phrase-known"), None
+        with rows_at_once(spark, CHUNK_ROWS):
+            known, shared = staged(back.groupBy("chunk").agg(listed.alias("known")).filter(F.size("known") > 0), "phrase-known"), None
     return levels
 
 
@@ -390,7 +473,8 @@ def top_collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `limit` phrases."""
     spark = docs.sparkSession
-    cut = staged(chunks(docs, text, lang), "phrase-texts")
+    with rows_at_once(spark, TEXT_ROWS):
+        cut = staged(chunks(docs, text, lang), "phrase-texts", options=LARGE_ROWS)
     words = frequent_words(cut, least)
     frequent = only_frequent(cut, words)
     try:

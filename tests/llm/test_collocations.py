@@ -116,3 +116,35 @@ def test_keys_tell_rows_apart_beyond_64_bits():
     key = keys(columns, 2**31)
     rows = list(zip(*[c.tolist() for c in columns]))
     assert len(set(key.tolist())) == len(set(rows)) == len(set(zip(key.tolist(), rows)))
+
+
+def test_chunks_are_read_and_sent_to_python_one_by_one(spark, monkeypatch):
+    seen = {}
+
+    def noted(df, label, real=collocations.staged, **options):
+        seen[label] = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+        return real(df, label, **options)
+
+    monkeypatch.setattr(collocations, "staged", noted)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = corpus(8, 40)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert rows_of(top_collocations(df, least=3, limit=30)) == plain(rows, 3, 30)
+    assert {seen[label] for label in ("phrase-words", "phrase-level", "phrase-near")} == {("1", "1")}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_words_near_frequent_pairs_hold_all_longer_phrases():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(-1, 9, 3000).astype(np.int32)
+    ids, counts = np.arange(9)[::-1] * 7, np.arange(9)
+    rare = counts <= 2
+    pairs = np.array([(ids[0], ids[5]), (ids[7], ids[1]), (ids[2], ids[2]), (ids[5], ids[6])])
+    left, used = collocations.near_pairs(codes, ids, rare, pairs, 5)
+    assert 0 < (left >= 0).sum() < (codes >= 0).sum() / 2
+    known = pairs
+    for m in (3, 4, 5):
+        found = [collocations.phrases_of(c, i, r, m, known) for c, i, r in ((codes, ids, rare), (left, ids[used], rare[used]))]
+        whole, near = ({tuple(p): n for p, n in zip(words.tolist(), count.tolist())} for words, count in found)
+        assert whole == near and whole
+        known = found[0][0]
