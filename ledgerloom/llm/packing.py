@@ -12,7 +12,10 @@ columns named in the result come back.
 """
 
 import os
+import string
+import unicodedata
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ REMEMBERED_WORDS = 500_000
 
 
 # Marks that end a word; behind a letter the tokenizer always starts a new token with them.
-CLOSING_MARKS = ".,;:!?"
+CLOSING_MARKS = string.punctuation.replace("'", "")
 # The tokenizer marks the last token of a word so.
 WORD_END = "</w>"
 JOINED_WORDS = 500
@@ -74,24 +77,28 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         split, others = [], []
-        for raw in new:
-            word = raw.decode("utf-8", "replace")
+        for raw, word in zip(new, b" ".join(new).decode("utf-8", "replace").split(" ")):
             core = word.rstrip(CLOSING_MARKS)
-            if core.isalpha():
-                split.append((raw, core.lower() if core.isascii() else core, word[len(core) :]))
+            if core.isascii():
+                alone, core = core.isalpha(), core.lower()
+            else:  # some letters become a letter and a mark when they are normalised
+                alone = unicodedata.normalize("NFC", core).lower().isalpha()
+            if alone:
+                split.append((raw, core, word[len(core) :]))
             else:
-                others.append(word)
+                others.append((raw, word))
         self._learn_letters(list({core for _, core, _ in split}.difference(self.letters)))
-        wholes = list({*others, *(tail for _, _, tail in split)})
+        wholes = list({*(word for _, word in others), *(tail for _, _, tail in split)})
         found = {w: ids.tobytes() for w, ids in zip(wholes, self._encode(wholes))}
-        self.known.update((w.encode(), found[w]) for w in others)
+        self.known.update((raw, found[word]) for raw, word in others)
         letters = self.letters
         self.known.update((raw, letters[core] + found[tail]) for raw, core, tail in split)
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self.known) > REMEMBERED_WORDS:
-            self.known, self.letters = {}, {}
-        new = list({w for words in texts for w in words}.difference(self.known))
+            # Frequent words are met first, and most of the others only once.
+            self.known, self.letters = (dict(islice(d.items(), REMEMBERED_WORDS // 2)) for d in (self.known, self.letters))
+        new = list(set().union(*texts).difference(self.known))
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
         get = self.known.__getitem__

@@ -161,6 +161,26 @@ def test_genes_keep_every_item_once():
     assert packing.fitness(best, sizes, 100) >= max(packing.fitness(p, sizes, 100) for p in start)
 
 
+def test_words_with_marks_have_the_ids_of_the_tokenizer(word_tokenizer, monkeypatch):
+    words = [f"{core}{tail}" for core in ("word", "Naïve", "İ", "Bक़", "ǅ", "don't", "x1", "ΣΑΣ", "漢") for tail in ("", "$$$", "&&&", "***,", ".", "\"),", "'", "-_/", "<", "|>", "...'")]
+    tokenizer, encoder = Tokenizer.from_file(word_tokenizer), packing.Encoder(word_tokenizer)
+    asked = []
+    monkeypatch.setattr(encoder, "_encode", lambda texts, real=encoder._encode: asked.extend(texts) or real(texts))
+    for _ in range(2):
+        got = encoder.encode([[w.encode()] for w in words])
+        assert got == [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert "word$$$" not in asked and "$$$" in asked
+
+
+def test_words_met_first_stay_known(word_tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 4)
+    encoder = packing.Encoder(word_tokenizer)
+    first = encoder.encode([[b"one", b"two"]])
+    encoder.encode([[b"three", b"four", b"five"]])
+    assert encoder.encode([[b"one", b"two"], [b"six"]])[0] == first[0]
+    assert set(encoder.known) == {b"one", b"two", b"six"}
+
+
 def test_packing_nothing(spark, word_tokenizer):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(empty, word_tokenizer).count() == 0
