@@ -19,10 +19,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import slices, texts_of
+from ledgerloom.llm.common import LOWER_BYTES, slices, texts_of
 from ledgerloom.plans.shared import runs_in_tasks, staged
 
 runs_in_tasks(__name__)
@@ -41,68 +42,146 @@ REMEMBERED_WORDS = 500_000
 
 # Marks that end a word; behind a letter the tokenizer always starts a new token with them.
 CLOSING_MARKS = string.punctuation.replace("'", "")
+BLANKS = b" \t\n\r\x0b\x0c"
 # The tokenizer marks the last token of a word so.
 WORD_END = "</w>"
 JOINED_WORDS = 500
 
+# Kinds of bytes. Apostrophes and the bars of special tokens are cut off from nothing, nor are non-ASCII characters; marks
+# that can change the letter before them when texts are normalised start with a byte from 0xCC on.
+BLANK, WORD, CAPITAL, MARK, MAY_COMBINE, OTHER = range(6)
+
+
+def _kind(c: int) -> int:
+    if c in BLANKS:
+        return BLANK
+    if 65 <= c <= 90:
+        return CAPITAL
+    if c < 128 and chr(c).isalnum():
+        return WORD
+    if chr(c) in CLOSING_MARKS and chr(c) != "|":
+        return MARK
+    return MAY_COMBINE if c >= 0xCC else OTHER
+
+
+# What two kinds in a row, as 8 times the first plus the second, mean: a unit starts with the second, a word ends with the
+# first, or the first stays a capital.
+STARTS, ENDS, STAYS = 1, 2, 3
+KINDS = bytes(map(_kind, range(256)))
+PAIRS = bytes(
+    STARTS if (a == BLANK and b != BLANK) or (a in (WORD, CAPITAL) and b == MARK) or (a == MARK and b in (WORD, CAPITAL))
+    else ENDS if a != BLANK and b == BLANK
+    else STAYS if (a, b) == (CAPITAL, MAY_COMBINE) else 0
+    for a, b in (divmod(pair, 8) for pair in range(256))
+)
+
+
+def units(texts: list[bytes], special: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The units of texts, which the tokenizer treats one by one: words between ASCII blanks, cut where an ASCII letter or digit
+    meets a closing mark, A-Z lower-cased unless what follows may combine with it. Also the number of units ahead of each text and of its end."""
+    joined = b" ".join([b"", *texts, b""])
+    kinds = np.frombuffer(joined.translate(KINDS), np.uint8)
+    pairs = ((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(PAIRS)
+    meaning = np.frombuffer(pairs, np.uint8)
+    edges = np.flatnonzero((meaning == STARTS) | (meaning == ENDS)) + 1
+    starting = meaning[edges - 1] == STARTS
+    starts = edges[starting]
+    lowered = bytearray(joined.translate(LOWER_BYTES))
+    if bytes([STAYS]) in pairs:
+        stays = np.flatnonzero(meaning == STAYS)
+        np.frombuffer(lowered, np.uint8)[stays] = np.frombuffer(joined, np.uint8)[stays]
+    if any(lowered.count(s) > joined.count(s) for s in special):  # special tokens have a case
+        lowered = joined
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.diff(edges)[starting[:-1]], out=offsets[1:])
+    data = bytes(lowered.translate(None, BLANKS))
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(starts, begins)
+
 
 class Encoder:
-    """Ids of a text, as little-endian 32-bit numbers. The tokenizer treats words between ASCII blanks one by one: it
-    normalises and splits inside them alone, so the ids of a word are looked up if it was met before. New words that are
-    all letters, but for closing marks, are encoded many at a time and told apart by the tokens that end a word."""
+    """Ids of a text, as little-endian 32-bit numbers. Texts are cut into units that the tokenizer treats one by one, the
+    different units of many texts are looked up if they were met before, and their ids are strung together by Arrow. New units
+    that are all letters, but for closing marks, are encoded many at a time and told apart by the tokens that end a word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model without what does nothing to words that are all letters: special tokens, runs of blanks, splitting;
+        # for the letters a-z nothing but the model is left.
+        blanks = pre_tokenizers.WhitespaceSplit()
+        self.ascii_speller, self.speller = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii_speller.pre_tokenizer = blanks
+        self.speller.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.speller.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.special = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_letters(self, words: list[str]) -> None:
-        groups = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+    def _spell(self, words: list[str], speller) -> list[bytes]:
+        """Ids of words that are all letters."""
+        groups, found = [words[k : k + JOINED_WORDS] for k in range(0, len(words), JOINED_WORDS)], []
+        for group, e in zip(groups, speller.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) == len(group):
                 packed, cuts = ids.tobytes(), [0, *cuts.tolist()]
-                self.letters.update((w, packed[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+                found += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
-                self.letters.update((w, own.tobytes()) for w, own in zip(group, self._encode(group)))
+                found += [own.tobytes() for own in self._encode(group)]
+        return found
 
     def _learn(self, new: list[bytes]) -> None:
+        plain, mixed = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        self.known.update(zip(plain, self._spell(b" ".join(plain).lower().decode().split(), self.ascii_speller)))
+        words = b" ".join(mixed).decode("utf-8", "replace").split(" ") if mixed else []
+        cores = [word.rstrip(CLOSING_MARKS) for word in words]
+        # Some letters become a letter and a mark when they are normalised.
+        forms = unicodedata.normalize("NFC", " ".join(cores)).lower().split(" ")
         split, others = [], []
-        for raw, word in zip(new, b" ".join(new).decode("utf-8", "replace").split(" ")):
-            core = word.rstrip(CLOSING_MARKS)
-            if core.isascii():
-                alone, core = core.isalpha(), core.lower()
-            else:  # some letters become a letter and a mark when they are normalised
-                alone = unicodedata.normalize("NFC", core).lower().isalpha()
-            if alone:
+        for raw, word, core, form in zip(mixed, words, cores, forms):
+            if form.isalpha():
                 split.append((raw, core, word[len(core) :]))
             else:
                 others.append((raw, word))
-        self._learn_letters(list({core for _, core, _ in split}.difference(self.letters)))
+        letters = self.letters
+        unmet = list(dict.fromkeys(core for _, core, _ in split if core not in letters))
+        letters.update(zip(unmet, self._spell(unmet, self.speller)))
         wholes = list({*(word for _, word in others), *(tail for _, _, tail in split)})
         found = {w: ids.tobytes() for w, ids in zip(wholes, self._encode(wholes))}
         self.known.update((raw, found[word]) for raw, word in others)
-        letters = self.letters
         self.known.update((raw, letters[core] + found[tail]) for raw, core, tail in split)
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+    def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED_WORDS:
             # Frequent words are met first, and most of the others only once.
             self.known, self.letters = (dict(islice(d.items(), REMEMBERED_WORDS // 2)) for d in (self.known, self.letters))
-        new = list(set().union(*texts).difference(self.known))
+        found, bounds = units(texts, self.special)
+        found = found.dictionary_encode()
+        different = pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary.cast(pa.binary()))
+        different = pc.binary_join(different, pa.scalar(b" ", pa.binary()))[0].as_py().split(b" ") if len(found) else []
+        own = list(map(self.known.get, different))
+        new = [w for w, ids in zip(different, own) if ids is None]
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+        own = [self.known[w] if ids is None else ids for w, ids in zip(different, own)] if new else own
+        if not own:
+            return [b""] * len(texts)
+        _, offsets, data = pa.array(own, pa.large_binary()).take(found.indices).buffers()
+        data, cuts = memoryview(data), np.frombuffer(offsets, np.int64)[bounds].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts given as lists of words."""
+        return self.encode_texts([b" ".join(words) for words in texts])
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -112,9 +191,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
     def run(batches):
         encoder = Encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, limit=1_000_000):
+            for part in slices(batch, limit=2_000_000):
                 rows = ([], [], [], [], [], [])
-                encoded = encoder.encode([(t or b"").split() for t in texts_of(part)])
+                encoded = encoder.encode_texts([t or b"" for t in texts_of(part)])
                 for i, ids in enumerate(encoded):
                     ids += close
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):

@@ -172,6 +172,25 @@ def test_words_with_marks_have_the_ids_of_the_tokenizer(word_tokenizer, monkeypa
     assert "word$$$" not in asked and "$$$" in asked
 
 
+def test_units_are_encoded_once_whatever_their_case_and_marks(word_tokenizer, monkeypatch):
+    encoder = packing.Encoder(word_tokenizer)
+    asked = []
+    monkeypatch.setattr(encoder, "_learn", lambda new, real=encoder._learn: asked.extend(new) or real(new))
+    encoder.encode([[b"THE", b"(the", b"The!!"], [b"the/the", b"[thE]", b"don't"]])
+    assert sorted(asked) == sorted([b"the", b"(", b"!!", b"/", b"[", b"]", b"don't"])
+
+
+def test_texts_cut_into_units_have_the_ids_of_the_tokenizer(word_tokenizer):
+    rng = np.random.default_rng(12)
+    atoms = [*"aHJiIT.,;'|<>=-_(\"9 \t\n\x0b\x1c\x7f\x00\xa0", "\u0301", "\u0331", "\u0338", "\u0307", "\u0327", "é", "É", "İ", "Σ", "\u212a", "…", "²", "漢", "한", "\u037e",
+             "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|eNDOFTEXt|>", "<|startoftext|>", "word", "Word", "THE", "!!"]
+    tokenizer, encoder = Tokenizer.from_file(word_tokenizer), packing.Encoder(word_tokenizer)
+    for _ in range(300):
+        texts = ["".join(rng.choice(atoms, rng.integers(0, 25))) for _ in range(rng.integers(0, 6))]
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode_texts([t.encode() for t in texts]) == want
+
+
 def test_words_met_first_stay_known(word_tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED_WORDS", 4)
     encoder = packing.Encoder(word_tokenizer)
