@@ -1,6 +1,6 @@
 """Cleaning: flags on rows (rows are never deleted), name normalisation, sampling."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import EXTREME_MIN_ROWS, EXTREME_SIGMAS, SAMPLE_SEED
@@ -8,10 +8,13 @@ from ledgerloom.functions.dates import as_moment
 from ledgerloom.functions.text import IS_ASCII, collapse_spaces, title_case_ascii, unicode_name, unicode_title
 from ledgerloom.ledger import require
 from ledgerloom.operators.periods import tenant_stats
-from ledgerloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, measured, pinned
+from ledgerloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, WINDOW_ROWS, lookup_join, measured, pinned
+from ledgerloom.plans.shared import SMALL_FILES, staged
 
 FLAGS = ("flag_future_date", "flag_negative_amount", "flag_extreme_amount", "flag_duplicate")
 DUPLICATE_KEY = ("date", "customer", "product", "amount")
+# Rows are counted in so many buckets of digests to find keys with too many rows for one task.
+KEY_BUCKETS = 1 << 16
 
 
 def flag_future(ledger: DataFrame, as_of) -> DataFrame:
@@ -38,39 +41,69 @@ def flag_extreme(ledger: DataFrame, stats: DataFrame | None = None) -> DataFrame
 
 
 def flag_duplicates(
-    ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY, broadcast_rows: int = BROADCAST_ROWS
+    ledger: DataFrame, key: tuple[str, ...] = DUPLICATE_KEY, broadcast_rows: int = BROADCAST_ROWS, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """All but the first row of every set of rows that agree on `key` within a tenant; nulls are equal.
 
-    Two 64-bit digests of the key are counted, so what is shuffled does not depend on how long names are. Only rows whose digests
-    repeat bring their keys to a second count, which decides. The firsts of the repeated keys are broadcast if they were measured and
-    found small; else rows that are not first find themselves by their unique row_id. Counts combine ahead of their shuffles and no
-    task holds a set of copies, so one set may be any share of the ledger.
+    Two 64-bit digests of the key are counted, so what is shuffled does not depend on how long names are. Where few digests repeat, their
+    rows bring the keys to a second count, which decides, and the firsts of the repeated keys are broadcast: no row moves. Where
+    many do, every row moves once, to the rows of its key; nothing is copied. Only keys in buckets of digests with more than
+    `window_rows` rows, so every key of that many, are left to counts that combine ahead of their shuffles. So no task
+    holds a larger set of copies, and one set may be any share of the ledger.
     """
-    digest = ["tenant", "_digest", "_second"]
-    rows = ledger.withColumns({"_digest": F.xxhash64(*key), "_second": F.xxhash64(F.lit("second"), *key)})
-    repeated = rows.groupBy(*digest).agg(F.count("*").alias("_n")).filter("_n > 1").select(*digest)
-    narrow = rows.select(*digest, *key, "row_id")
-    members = lookup_join(narrow, repeated, digest, spread_by=["row_id"], broadcast_rows=broadcast_rows)
-    firsts = pinned(
-        members.groupBy(*digest, *key).agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    )
-    known = firsts.select(*digest, *[F.col(c).alias(f"_{c}") for c in (*key, "first")])
-    same = F.lit(True)
+    digest = ["_digest", "_second"]
+    rows = ledger.withColumns({"_digest": F.xxhash64("tenant", *key), "_second": F.xxhash64(F.lit("second"), "tenant", *key)})
+    repeated = staged(rows.groupBy(*digest).agg(F.count("*").alias("_n")).filter("_n > 1").select(*digest), "repeated-keys", options=SMALL_FILES)
+    n, size = measured(repeated)
+    if n <= broadcast_rows and size <= BROADCAST_BYTES:
+        firsts = _firsts(rows.join(F.broadcast(repeated), digest), digest, key)
+        n, size = measured(firsts)
+        if n <= broadcast_rows and size <= BROADCAST_BYTES:
+            return _later_than_broadcast(rows, firsts, digest, key).select(*ledger.columns, "flag_duplicate")
+        firsts.unpersist()
+    bucket = F.pmod("_digest", F.lit(KEY_BUCKETS))
+    crowded = [r["bucket"] for r in rows.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > window_rows).collect()]
+    first = F.min("row_id").over(Window.partitionBy("tenant", *key))
+    later = F.col("tenant").isNotNull() & F.coalesce(F.col("row_id") > first, F.lit(False))
+    flagged = rows.filter(~bucket.isin(crowded)).withColumn("flag_duplicate", later).select(*ledger.columns, "flag_duplicate")
+    if crowded:
+        hot = rows.filter(bucket.isin(crowded))
+        flagged = flagged.unionByName(_later_in_crowds(hot, digest, key, broadcast_rows).select(*ledger.columns, "flag_duplicate"))
+    return flagged
+
+
+def _firsts(rows: DataFrame, digest: list[str], key: tuple[str, ...]) -> DataFrame:
+    """The lowest row_id of every key that repeats, below names that no row has."""
+    first = rows.groupBy("tenant", *digest, *key).agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return pinned(first.select(*[F.col(c).alias(f"{c}_") for c in first.columns]))
+
+
+def _same_key(key: tuple[str, ...]) -> Column:
+    same = F.col("tenant") == F.col("tenant_")
     for column in key:
-        same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
+        same = same & F.col(column).eqNullSafe(F.col(f"{column}_"))
+    return same
+
+
+def _later_than_broadcast(rows: DataFrame, firsts: DataFrame, digest: list[str], key: tuple[str, ...]) -> DataFrame:
+    same = _same_key(key)
+    for column in digest:
+        same = same & (F.col(column) == F.col(f"{column}_"))
+    return rows.join(F.broadcast(firsts), same, "left").withColumn("flag_duplicate", F.coalesce(F.col("row_id") > F.col("first_"), F.lit(False)))
+
+
+def _later_in_crowds(rows: DataFrame, digest: list[str], key: tuple[str, ...], broadcast_rows: int) -> DataFrame:
+    """Flags by firsts that are broadcast if they were measured and found small; else rows that are not first find themselves
+    by their unique row_id."""
+    firsts = _firsts(rows, digest, key)
     n, size = measured(firsts)
     if n <= broadcast_rows and size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(known.withColumnsRenamed({d: f"{d}_" for d in digest})), (
-            (F.col("tenant") == F.col("tenant_")) & (F.col("_digest") == F.col("_digest_")) & (F.col("_second") == F.col("_second_")) & same
-        ), "left")
-        flag = F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))
-    else:
-        met = lookup_join(members, known, digest, spread_by=["row_id"], broadcast_rows=broadcast_rows, right_rows=n)
-        later = met.filter(same & (F.col("row_id") > F.col("_first"))).select(*digest, "row_id").distinct()
-        joined = rows.join(later.withColumn("_later", F.lit(True)), [*digest, "row_id"], "left")
-        flag = F.col("_later").isNotNull()
-    return joined.withColumn("flag_duplicate", flag).select(*ledger.columns, "flag_duplicate")
+        return _later_than_broadcast(rows, firsts, digest, key)
+    known = firsts.withColumnsRenamed({f"{d}_": d for d in digest})
+    met = lookup_join(rows.select("tenant", *digest, *key, "row_id"), known, digest, spread_by=["row_id"], broadcast_rows=broadcast_rows, right_rows=n)
+    later = met.filter(_same_key(key) & (F.col("row_id") > F.col("first_"))).select("tenant", *digest, "row_id").distinct()
+    joined = rows.join(later.withColumn("_later", F.lit(True)), ["tenant", *digest, "row_id"], "left")
+    return joined.withColumn("flag_duplicate", F.col("_later").isNotNull())
 
 
 def _unicode_names(ledger: DataFrame) -> DataFrame:

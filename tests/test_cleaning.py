@@ -83,3 +83,25 @@ def test_sample_takes_a_share_by_hash(make_ledger):
     assert 500 < len(drawn) < 700
     assert drawn < {r["row_id"] for r in cleaning.sample_ledger(ledger, 0.6).collect()}
     assert cleaning.sample_ledger(ledger, 1).count() == 2000 and cleaning.sample_ledger(ledger, 0).count() == 0
+
+
+def test_many_repeated_keys_are_not_copied(spark, make_ledger):
+    """Every row twice: the firsts are too many to broadcast, and no step makes more rows than the ledger has."""
+    one = make_ledger([("a", "2026-01-01", "c", "p", 10)]).crossJoin(spark.range(2000))
+    twice = one.withColumn("customer", F.col("id").cast("string")).drop("id").crossJoin(spark.range(2)).withColumn(
+        "row_id", F.format_string("%s-%d", "customer", "id")).drop("id")
+    flagged = cleaning.flag_duplicates(twice, broadcast_rows=0)
+    assert "_salt" not in flagged._jdf.queryExecution().toString()
+    assert {r["row_id"][-1] for r in flagged.filter("flag_duplicate").collect()} == {"1"}
+    assert flagged.filter("not flag_duplicate").count() == 2000
+
+
+def test_keys_with_too_many_rows_for_one_task(make_ledger):
+    rows = [("a", "2026-01-01", None, "p", 1)] * 500 + [("a", f"2026-01-{i % 28 + 1:02d}", f"c{i % 40}", "p", 2) for i in range(300)]
+    rows += [(None, "2026-01-01", "c", "p", 1)] * 3
+    ledger = make_ledger(rows)
+    expected = sorted(cleaning.flag_duplicates(ledger).collect(), key=str)
+    for few in (0, 1000):
+        crowds = cleaning.flag_duplicates(ledger, broadcast_rows=few, window_rows=100)
+        assert sorted(crowds.collect(), key=str) == expected
+    assert sum(r["flag_duplicate"] for r in expected) == 499 + 300 - 280
