@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.fixed_values import HISTORY_MESSAGES, RETENTION_DAYS
 from ledgerloom.functions.dates import as_moment, day_shift
-from ledgerloom.plans.joins import lookup_join, pinned, top_per_group
+from ledgerloom.plans.joins import SALTS, lookup_join, pinned, top_per_group
 
 
 def upsert(
@@ -54,12 +54,12 @@ def cascade_delete(tables: dict[str, DataFrame], deleted_users: DataFrame) -> di
     """All tables without the deleted users and everything that belongs to them.
 
     Clients, uploads, analyses and reports go with their owner or parent; messages stay without a user, and uploads of
-    other users stay without a deleted client.
+    other users stay without a deleted client. An owner may have any share of a table's rows; an upload and an analysis have few.
     """
     gone = pinned(deleted_users.select("user_id").distinct())
 
-    def without(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-        return lookup_join(table, keys.select(F.col(keys.columns[0]).alias(column)), [column], "left_anti")
+    def without(table: DataFrame, keys: DataFrame, column: str, salts: int = SALTS) -> DataFrame:
+        return lookup_join(table, keys.select(F.col(keys.columns[0]).alias(column)), [column], "left_anti", salts=salts)
 
     def unlinked(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
         marked = lookup_join(table, keys.withColumn("_gone", F.lit(True)), [column], "left")
@@ -70,7 +70,7 @@ def cascade_delete(tables: dict[str, DataFrame], deleted_users: DataFrame) -> di
     gone_clients = lookup_join(clients, gone_owners, ["owner_id"], "left_semi").select("client_id")
     uploads = without(tables["uploads"], gone, "user_id")
     gone_uploads = lookup_join(tables["uploads"], gone, ["user_id"], "left_semi").select("upload_id")
-    analyses = without(without(tables["analyses"], gone, "user_id"), gone_uploads, "upload_id")
+    analyses = without(without(tables["analyses"], gone, "user_id"), gone_uploads, "upload_id", 1)
     gone_analyses = tables["analyses"].join(analyses.select("analysis_id"), "analysis_id", "left_anti").select(
         "analysis_id"
     )
@@ -79,7 +79,7 @@ def cascade_delete(tables: dict[str, DataFrame], deleted_users: DataFrame) -> di
         "clients": without(clients, gone, "owner_id"),
         "uploads": unlinked(uploads, gone_clients, "client_id"),
         "analyses": analyses,
-        "reports": without(without(tables["reports"], gone, "user_id"), gone_analyses, "analysis_id"),
+        "reports": without(without(tables["reports"], gone, "user_id"), gone_analyses, "analysis_id", 1),
         "messages": unlinked(tables["messages"], gone, "user_id"),
     }
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.joins import lookup_join, rank_in_group, top_per_group
@@ -44,3 +45,12 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert top.filter("k = 'hot'").count() == 2
+
+
+@pytest.mark.parametrize("salts", [1, 32])
+def test_copies_of_a_large_lookup_side_are_not_broadcast(spark, salts):
+    """Spark takes them to be as small as the table that they are copies of."""
+    left, right = (spark.range(n).select((F.col("id") % 50).alias("k"), F.col("id").alias(c)) for n, c in ((1000, "v"), (50, "w")))
+    joined = lookup_join(left, right, ["k"], broadcast_rows=0, salts=salts)
+    assert joined.count() == 1000
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
