@@ -116,27 +116,49 @@ def _unicode_names(ledger: DataFrame) -> DataFrame:
     return names.withColumn("_clean", clean)
 
 
-def normalise_names(ledger: DataFrame, names_from: DataFrame | None = None) -> DataFrame:
+def _odd(column: str) -> Column:
+    """A name with other characters than ASCII, else null."""
+    return F.when(~F.col(column).rlike(IS_ASCII), F.col(column))
+
+
+def _unicode_size(ledger: DataFrame) -> tuple[int, int]:
+    """About how many different non-ASCII names there are in both columns, and their bytes, by sketches: no name moves."""
+    names = ("customer", "product")
+    counted = [f(_odd(c)).alias(f"{c}_{label}") for c in names for f, label in (
+        (F.approx_count_distinct, "n"), (lambda name: F.avg(F.octet_length(name)), "bytes"))]
+    found = ledger.agg(*counted).first()
+    return sum(found[f"{c}_n"] for c in names), sum(found[f"{c}_n"] * int(found[f"{c}_bytes"] or 0) for c in names)
+
+
+def normalise_names(ledger: DataFrame, names_from: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Unicode NFC, collapsed whitespace, and title case for customers; products keep their case.
 
-    ASCII names are handled inside the JVM. Names with other characters go through Arrow once per distinct name and
-    are joined back. They are collected from `names_from`, the plainest form of the same ledger at hand, so that the
-    work done on `ledger` since then is not repeated for it.
+    ASCII names are handled inside the JVM. Where the distinct names with other characters are few, they go through Arrow once
+    each and are broadcast; else they go through Arrow row by row, where they stand, so that no name is shuffled. They are counted and
+    collected from `names_from`, the plainest form of the same ledger at hand, so that the work done on `ledger` since then
+    is not repeated for it.
     """
-    mapping = pinned(_unicode_names(ledger if names_from is None else names_from))
-    found = mapping.count()
+    source = ledger if names_from is None else names_from
     built_in = {"customer": title_case_ascii(collapse_spaces(F.col("customer"))),
                 "product": collapse_spaces(F.col("product"))}
+    found, size = _unicode_size(source)
     if found == 0:
         return ledger.withColumns(built_in)
-    result = ledger
-    for column, ascii_form in built_in.items():
-        clean = mapping.filter(F.col("kind") == column).select(F.col("name").alias(column), "_clean")
-        joined = lookup_join(result, clean, [column], "left", spread_by=["row_id"], right_rows=found)
-        result = joined.withColumn(
-            column, F.when(F.col(column).rlike(IS_ASCII), ascii_form).otherwise(F.col("_clean"))
-        ).drop("_clean")
-    return result.select(*ledger.columns)
+    if found <= broadcast_rows and size <= BROADCAST_BYTES:
+        mapping = pinned(_unicode_names(source))
+        found, size = measured(mapping)
+        if found <= broadcast_rows and size <= BROADCAST_BYTES:
+            result = ledger
+            for column, ascii_form in built_in.items():
+                clean = mapping.filter(F.col("kind") == column).select(F.col("name").alias(column), "_clean")
+                joined = result.join(F.broadcast(clean), column, "left")
+                result = joined.withColumn(
+                    column, F.when(F.col(column).rlike(IS_ASCII), ascii_form).otherwise(F.col("_clean"))
+                ).drop("_clean")
+            return result.select(*ledger.columns)
+        mapping.unpersist()
+    clean = {"customer": unicode_title(_odd("customer")), "product": unicode_name(_odd("product"))}
+    return ledger.withColumns({c: F.when(F.col(c).rlike(IS_ASCII), built_in[c]).otherwise(clean[c]) for c in built_in})
 
 
 def normalise(ledger: DataFrame, as_of) -> DataFrame:

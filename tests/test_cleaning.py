@@ -105,3 +105,13 @@ def test_keys_with_too_many_rows_for_one_task(make_ledger):
         crowds = cleaning.flag_duplicates(ledger, broadcast_rows=few, window_rows=100)
         assert sorted(crowds.collect(), key=str) == expected
     assert sum(r["flag_duplicate"] for r in expected) == 499 + 300 - 280
+
+
+def test_many_unicode_names_stay_where_they_are(make_ledger):
+    """Names that are too many to broadcast are written like the others, without being shuffled."""
+    names = ["  o'brien ", "émile  ZOLA", "शर्मा  ट्रेडर्स", "école X", None, "plain"]
+    ledger = make_ledger([("a", "2026-01-01", n, m, 1) for n in names for m in names])
+    many = cleaning.normalise_names(ledger, broadcast_rows=0)
+    assert sorted(many.collect(), key=str) == sorted(cleaning.normalise_names(ledger).collect(), key=str)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
