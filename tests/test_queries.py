@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import registry
 from ledgerloom.ledger import staged_ledger
+from ledgerloom.plans import shared
 
 
 def order_tables(spark, folder, lines):
@@ -34,3 +35,23 @@ def test_a_row_id_whose_hash_has_no_absolute_value(spark, tmp_path):
     assert registry.csv_ingest_stats(spark, folder).first()["rows_read"] == 3
     for arriving in (registry.arriving_files, registry.arriving_rows):
         assert [r["current_revenue"] for r in arriving(spark, folder).collect()] == [16.5]
+
+
+def test_voucher_files_are_compressed_and_read_whole(spark, tmp_path):
+    keys = [k for k in range(40) if k % 9 and k % 11 and k % 13]  # plain sales with a party
+    folder = order_tables(spark, tmp_path / "in", [(k, f"2001-01-{k % 28 + 1:02d}", 1.0 + k) for k in keys])
+    made = registry.voucher_files(spark, folder)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(made).select("path").collect()
+    assert names and all(r["path"].endswith(".xml.gz") for r in names)
+    assert registry.xml_ledger(spark, folder).agg(F.sum("amount")).first()[0] == sum(1 + k for k in keys)
+    assert registry.xml_ingest_stats(spark, folder).first()["vouchers_found"] == len(keys)
+    assert registry.arriving_vouchers(spark, folder).count() == 1
+
+
+def test_a_staged_table_lets_go_of_its_shuffles(spark):
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before, setting = shuffles(), spark.conf.get(shared.REMOVES_SHUFFLES, None)
+    table = shared.staged(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert table.count() == 7
+    assert spark.conf.get(shared.REMOVES_SHUFFLES, None) == setting
+    assert shuffles() <= before + 1
